@@ -27,8 +27,16 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.jaccard_join import jaccard_groups
+
+    out = jaccard_groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
 
 #: DuckDB SQL of those queries that SQL can express on whole tables.

@@ -259,7 +259,8 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     run, schema = _interval_batches(window, id_type)
     found = written(base.where(F.octet_length("text") >= window).mapInArrow(run, schema), "intervals")
 
-    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written, so that both sides of the join are plain exchanges and a hot anchor can be split over tasks.
+    shared = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     alike = written(found.join(shared, "anchor", "left_semi"), "shared")
     drop_written(found)
     contexts = alike.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_key", "first", "last")).alias("member"))
