@@ -2,11 +2,13 @@
 
 Exact over 64-bit fingerprints of n-grams:
 
-1. One pass counts n-grams in a table of fixed size.  It only fixes a global order, rare cells first.
+1. One pass counts words in a table of fixed size.  It only fixes a global order of n-grams, those of rare
+   words first, so that n-grams of common words and of widespread passages come last.
 2. A second pass turns each text into its set: size, a fingerprint of the whole set and, in that order,
    the prefix that any partner has to share.  Equal sets become one *class*.
-3. Classes that share a prefix n-gram and fit in size are joined to stars, never to all pairs, and their
-   components are *clusters*.  No link crosses clusters.
+3. Classes that share a prefix n-gram and fit in size are compared by their bitmaps alone; those that may
+   link are joined to stars, never to all pairs, and the components are *clusters*.  No link crosses
+   clusters.  Classes under an n-gram of very many classes are joined without a look at the bitmaps.
 4. The sets of each cluster meet in size-banded tiles: bands of the similarity's ratio, so that links
    stay within a band or reach the next one, and blocks of bounded size within a band.  In a tile,
    bit counts of hashed bitmaps bound the overlap from above; pairs that pass are decided by
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,13 +36,15 @@ from gneiss.llm.work import take, text_pieces, written
 from gneiss.llm.words import fingerprints, shingles
 
 PIECE = 1 << 21
-#: Cells of the table of approximate n-gram counts; it is broadcast as one byte a cell.
+#: Cells of the table of approximate word counts; it is broadcast as one byte a cell.
 CELLS = 1 << 20
 #: Rows of that table that are summed together.
 _BLOCK = 1 << 12
 #: Sets and n-grams in one block of a tile.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 21
 BITS = 1024
+#: Classes under one prefix n-gram up to which their bitmaps are compared before the tiles.
+CROWD = 2048
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -50,18 +54,18 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield first, stop, grams, bounds
 
 
-def _cell(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def _cell(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def cell_ranks(texts: DataFrame, k: int) -> np.ndarray:
-    """For each cell the bit length of its count over all texts: ``CELLS`` bytes, whatever the input."""
+def cell_ranks(texts: DataFrame) -> np.ndarray:
+    """For each cell four times the binary logarithm of its count over all texts: ``CELLS`` bytes, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for _, _, grams, _ in _sets(batch, k):
-                total += np.bincount(_cell(grams), minlength=CELLS)
+            for _, _, raw, at in text_pieces(batch.column("text"), PIECE):
+                total += np.bincount(_cell(fingerprints(raw, at)[1]), minlength=CELLS)
         rows = total.reshape(-1, _BLOCK)
         some = np.flatnonzero(rows.any(axis=1))
         if len(some):
@@ -71,7 +75,7 @@ def cell_ranks(texts: DataFrame, k: int) -> np.ndarray:
         import pandas as pd
 
         total = np.sum([np.frombuffer(x, dtype=np.uint32).astype(np.float64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": [key[0]], "ranks": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "ranks": [np.ceil(4 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
     parts = texts.mapInArrow(count, "block int, counts binary")
     out = np.zeros((CELLS // _BLOCK, _BLOCK), dtype=np.uint8)
@@ -89,24 +93,28 @@ def _signature_batches(k: int, num: int, den: int, ranks, id_type: T.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = ranks.value
         for batch in batches:
-            for first, stop, grams, bounds in _sets(batch, k):
-                sizes, one, two, heads = [], [], [], []
+            for first, stop, raw, at in text_pieces(batch.column("text"), PIECE):
+                row, word = fingerprints(raw, at)
+                grams, bounds, weight = shingles(row, word, stop - first, k, order[_cell(word)].astype(np.int64))
+                sizes, one, two, heads, maps = [], [], [], [], []
                 for i in range(stop - first):
-                    own = np.unique(grams[bounds[i] : bounds[i + 1]])
+                    own, where = np.unique(grams[bounds[i] : bounds[i + 1]], return_index=True)
                     n = len(own)
                     sizes.append(n)
+                    maps.append(bitmap(own).tobytes())
                     one.append(mix(np.add.reduce(mix(own ^ np.uint64(0x1234567)), dtype=np.uint64) + np.uint64(n)))
                     two.append(np.add.reduce(mix(own + np.uint64(0x9876543)), dtype=np.uint64))
-                    keys = (order[_cell(own)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
+                    rank = np.minimum(weight[bounds[i] : bounds[i + 1]][where], 1023).astype(np.uint64)
+                    keys = (rank << np.uint64(54)) | (own >> np.uint64(10))
                     size = n - -(-num * n // den) + 1 if n else 0
                     heads.append(np.sort(np.partition(keys, size - 1)[:size] if size else keys).view(np.int64))
                 rows = np.arange(first, stop)
                 yield pa.RecordBatch.from_arrays(
-                    [take(batch, "id", rows), take(batch, "text_key", rows), pa.array(sizes, pa.int32()), pa.array(np.array(one, dtype=np.uint64).view(np.int64)), pa.array(np.array(two, dtype=np.uint64).view(np.int64)), pa.array(heads, pa.list_(pa.int64()))],
-                    names=["id", "text_key", "n", "node", "two", "head"],
+                    [take(batch, "id", rows), take(batch, "text_key", rows), pa.array(sizes, pa.int32()), pa.array(np.array(one, dtype=np.uint64).view(np.int64)), pa.array(np.array(two, dtype=np.uint64).view(np.int64)), pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                    names=["id", "text_key", "n", "node", "two", "head", "bitmap"],
                 )
 
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("text_key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("two", T.LongType()), T.StructField("head", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("text_key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("two", T.LongType()), T.StructField("head", T.ArrayType(T.LongType())), T.StructField("bitmap", T.BinaryType())])
     return run, schema
 
 
@@ -147,45 +155,53 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def link_tile(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> Forest:
-    """Joins the sets that link.  With two sides only pairs across them are compared."""
-    order = np.argsort([len(x) for x in sets], kind="stable")
-    size = np.array([len(sets[i]) for i in order], dtype=np.int64)
-    maps = np.stack([bitmap(sets[i]) for i in order]) if len(order) else np.zeros((0, BITS // 64), dtype=np.uint64)
+def link(size: np.ndarray, maps: np.ndarray, side: np.ndarray, num: int, den: int, decide=None) -> Forest:
+    """Joins sets, sorted by size, that may link by their bitmaps and that ``decide(i, j)`` confirms.
+
+    With two sides only pairs across them are compared; pairs that are joined already are not.
+    """
     ones = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-    sides = side[order]
-    two = len(np.unique(sides)) > 1
-    out = Forest(len(sets))
-    label = np.arange(len(sets))
-    for i in range(1, len(order)):
+    two = len(np.unique(side)) > 1
+    out = Forest(len(size))
+    label = np.arange(len(size))
+    for i in range(1, len(size)):
         low = int(np.searchsorted(size, -(-num * size[i] // den)))
         if low >= i:
             continue
-        js = low + np.flatnonzero((label[low:i] != label[i]) & ((sides[low:i] != sides[i]) | (not two)))
+        js = low + np.flatnonzero((label[low:i] != label[i]) & ((side[low:i] != side[i]) | (not two)))
         if not len(js):
             continue
         common = np.bitwise_count(maps[js] & maps[i]).sum(axis=1, dtype=np.int64)
         most = np.minimum(size[i] - (ones[i] - common), size[js] - (ones[js] - common))
         need = -(-num * (size[i] + size[js]) // (num + den))
         for j in js[most >= need]:
-            if label[j] == label[i]:
-                continue
-            a, b = sets[order[i]], sets[order[j]]
-            spot = np.searchsorted(b, a)
-            spot[spot == len(b)] = 0
-            if int((b[spot] == a).sum()) >= required(len(a), len(b), num, den):
-                out.join(int(order[i]), int(order[j]))
+            if label[j] != label[i] and (decide is None or decide(i, j)):
+                out.join(i, int(j))
                 label[label == label[j]] = label[i]
     return out
 
 
+def link_tile(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning star, as index pairs, of each group of sets that link."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    ranked = [sets[i] for i in order]
+
+    def decide(i: int, j: int) -> bool:
+        a, b = ranked[i], ranked[j]
+        spot = np.searchsorted(b, a)
+        spot[spot == len(b)] = 0
+        return int((b[spot] == a).sum()) >= required(len(a), len(b), num, den)
+
+    found = link(np.array([len(x) for x in ranked], dtype=np.int64), np.stack([bitmap(x) for x in ranked]), side[order], num, den, decide)
+    return [(int(order[i]), int(order[found.root(i)])) for i in range(len(ranked)) if found.root(i) != i]
+
+
 def _tile_batches(num: int, den: int):
     """Rows come sorted by cluster and tile; each tile is held whole, and blocks bound its size."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
         nodes = [r[0] for r in rows]
-        found = link_tile([np.frombuffer(r[2], dtype=np.uint64) for r in rows], np.array([r[1] for r in rows]), num, den)
-        pairs = [(nodes[i], nodes[found.root(i)]) for i in range(len(nodes)) if found.root(i) != i]
+        pairs = [(nodes[i], nodes[j]) for i, j in link_tile([np.frombuffer(r[2], dtype=np.uint64) for r in rows], np.array([r[1] for r in rows]), num, den)]
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]) if pairs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +264,12 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("num / den must lie above 0 and not above 1")
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    ranks = spark.sparkContext.broadcast(cell_ranks(base.select("text"), k))
+    ranks = spark.sparkContext.broadcast(cell_ranks(base.select("text")))
     run, schema = _signature_batches(k, num, den, ranks, base.schema["id"].dataType)
     found = written(base.mapInArrow(run, schema), "signatures")
 
     member = F.struct(F.col("id").isNull().alias("no"), "id", "text_key")
-    classes = written(found.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.min(member).alias("member")), "classes")
+    classes = written(found.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.first("bitmap").alias("bitmap"), F.min(member).alias("member")), "classes")
     links = _candidates(classes, num, den)
     clusters = written(connected(links).select("node", F.col("component").alias("cluster")), "clusters")
     asked = clusters.join(classes.select("node", "member"), "node").select("cluster", "node", "member.id", "member.text_key")
@@ -279,15 +295,54 @@ def _repeats(found: DataFrame) -> bool:
 
 
 def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Stars over classes that share a prefix n-gram, cut where sizes part further than a link allows."""
-    from pyspark.sql import Window
-
+    """Stars over classes that share a prefix n-gram and whose sizes and bitmaps allow a link."""
     posts = classes.select(F.explode("head").alias("key"), "node", "n")
-    w = Window.partitionBy("key").orderBy("n", "node")
-    near = posts.select("node", "n", F.first("node").over(w).alias("first"), F.first("n").over(w).alias("first_n"), F.lag("node").over(w).alias("prior"), F.lag("n").over(w).alias("prior_n"))
+    by_key = Window.partitionBy("key")
+    posts = posts.withColumn("size", F.count(F.lit(1)).over(by_key)).where("size > 1")
+    w = by_key.orderBy("n", "node")
+    posts = posts.select("key", "node", "n", "size", F.first("node").over(w).alias("first"), F.first("n").over(w).alias("first_n"), F.lag("node").over(w).alias("prior"), F.lag("n").over(w).alias("prior_n"))
+    posts = written(posts, "posts")
+
     fits = lambda c: F.col(c) * den >= F.col("n") * num
     partner = F.when(fits("first_n") & (F.col("first") != F.col("node")), F.col("first")).when(fits("prior_n") & (F.col("prior") != F.col("node")), F.col("prior"))
-    return near.select(F.col("node").alias("a"), partner.alias("b")).where("b is not null").distinct()
+    crowded = posts.where(F.col("size") > CROWD).select(F.col("node").alias("a"), partner.alias("b")).where("b is not null")
+
+    lists = posts.where(F.col("size") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    seats = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))
+    seats = seats.join(classes.select("node", "n", "bitmap"), "node").repartition("list").sortWithinPartitions("list", "n", "node")
+    return crowded.unionByName(seats.mapInArrow(_bitmap_batches(num, den), "a long, b long")).distinct()
+
+
+def _bitmap_batches(num: int, den: int):
+    """Rows come sorted by list and size."""
+
+    def solve(nodes: np.ndarray, size: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = link(size, maps, np.zeros(len(size)), num, den)
+        root = np.array([found.root(i) for i in range(len(size))])
+        some = np.flatnonzero(root != np.arange(len(root)))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        key = None
+        for batch in batches:
+            lists = batch.column("list").to_numpy()
+            nodes, size = batch.column("node").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+            maps = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), dtype=np.uint64).reshape(len(lists), -1)
+            cut = np.concatenate(([0], np.flatnonzero(lists[1:] != lists[:-1]) + 1, [len(lists)]))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if a == b:
+                    continue
+                if held and lists[a] != key:
+                    yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+                key = lists[a]
+                held.append((nodes[a:b], size[a:b], maps[a:b]))
+        if held:
+            yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

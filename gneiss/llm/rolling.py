@@ -18,8 +18,9 @@ _powers: dict[str, np.ndarray] = {}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit words."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    with np.errstate(over="ignore"):  # numpy warns of scalars that wrap round, as they should here
+        x = (x ^ (x >> np.uint64(30))) * _MIX1
+        x = (x ^ (x >> np.uint64(27))) * _MIX2
     return x ^ (x >> np.uint64(31))
 
 

@@ -38,25 +38,34 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def shingles(row: np.ndarray, word: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """All runs of ``k`` words as fingerprints, with row bounds; a row of fewer words gives one run of all of them."""
+def shingles(row: np.ndarray, word: np.ndarray, n_rows: int, k: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """All runs of ``k`` words as fingerprints, with row bounds; a row of fewer words gives one run of all of them.
+
+    With a ``weight`` for each word a third array has the sum of each run's weights.
+    """
     count = np.bincount(row, minlength=n_rows)
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
     full = max(len(word) - k + 1, 0)
     h = np.zeros(full, dtype=np.uint64)
+    total = np.zeros(full, dtype=np.int64)
     for i in range(k):
         h = mix(h * _STEP + word[i : i + full])
+        if weight is not None:
+            total += weight[i : i + full]
     inside = (row[:full] == row[k - 1 :]) if full else np.zeros(0, dtype=bool)
-    pieces, sizes = h[inside], np.maximum(count - k + 1, 0)
+    pieces, total, sizes = h[inside], total[inside], np.maximum(count - k + 1, 0)
     short = np.flatnonzero((count > 0) & (count < k))
-    if not len(short):
-        return pieces, np.concatenate(([0], np.cumsum(sizes)))
-    extra = np.zeros(len(short), dtype=np.uint64)
-    for i in range(k - 1):
-        more = count[short] > i
-        extra[more] = mix(extra[more] * _STEP + word[first[short[more]] + i])
-    extra = mix(extra + count[short].astype(np.uint64))
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    pieces = np.insert(pieces, at[short], extra)
-    sizes[short] = 1
-    return pieces, np.concatenate(([0], np.cumsum(sizes)))
+    if len(short):
+        extra = np.zeros(len(short), dtype=np.uint64)
+        heavy = np.zeros(len(short), dtype=np.int64)
+        for i in range(k - 1):
+            more = count[short] > i
+            extra[more] = mix(extra[more] * _STEP + word[first[short[more]] + i])
+            if weight is not None:
+                heavy[more] += weight[first[short[more]] + i]
+        extra = mix(extra + count[short].astype(np.uint64))
+        at = np.concatenate(([0], np.cumsum(sizes)))[short]
+        pieces, total = np.insert(pieces, at, extra), np.insert(total, at, heavy)
+        sizes[short] = 1
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    return (pieces, bounds) if weight is None else (pieces, bounds, total)

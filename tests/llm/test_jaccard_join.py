@@ -63,6 +63,7 @@ def got(spark, rows, **more):
 def test_against_brute_force(spark, monkeypatch, k, num, blocks):
     if blocks:
         monkeypatch.setattr(m, "BLOCK_SETS", blocks)
+        monkeypatch.setattr(m, "CROWD", 3)
     rows = list(enumerate(corpus(k + num, 160)))
     random.Random(k).shuffle(rows)
     assert got(spark, rows, k=k, num=num) == brute(rows, k, num, 100)
