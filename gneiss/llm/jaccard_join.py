@@ -41,7 +41,8 @@ CELLS = 1 << 20
 #: Rows of that table that are summed together.
 _BLOCK = 1 << 12
 #: Sets and n-grams in one block of a tile.
-BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 21
+BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 22
+#: Bits of the smallest bitmap; larger sets have the next power of two above their size.
 BITS = 1024
 #: Classes under one prefix n-gram up to which their bitmaps are compared before the tiles.
 CROWD = 2048
@@ -130,9 +131,10 @@ def _set_batches(k: int):
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    """``BITS`` bits with those set to which members hash."""
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(own >> np.uint64(20)) % np.uint64(BITS)] = 1
+    """A power of two of bits, ``BITS`` and the set's size at least, with those set to which members hash."""
+    size = max(BITS, 1 << max(len(own) - 1, 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(own >> np.uint64(20)) % np.uint64(size)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
@@ -155,12 +157,16 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def link(size: np.ndarray, maps: np.ndarray, side: np.ndarray, num: int, den: int, decide=None) -> Forest:
+def link(size: np.ndarray, maps: list[np.ndarray], side: np.ndarray, num: int, den: int, decide=None) -> Forest:
     """Joins sets, sorted by size, that may link by their bitmaps and that ``decide(i, j)`` confirms.
 
-    With two sides only pairs across them are compared; pairs that are joined already are not.
+    With two sides only pairs across them are compared; pairs that are joined already are not.  A bitmap
+    is folded to the width of a smaller partner's.
     """
-    ones = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    width = np.array([len(x) for x in maps])
+    first = np.concatenate(([0], np.flatnonzero(width[1:] != width[:-1]) + 1))
+    stack = [np.stack(maps[a:b]) for a, b in zip(first, [*first[1:], len(maps)], strict=True)]
+    ones = np.concatenate([np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in stack])
     two = len(np.unique(side)) > 1
     out = Forest(len(size))
     label = np.arange(len(size))
@@ -168,16 +174,22 @@ def link(size: np.ndarray, maps: np.ndarray, side: np.ndarray, num: int, den: in
         low = int(np.searchsorted(size, -(-num * size[i] // den)))
         if low >= i:
             continue
-        js = low + np.flatnonzero((label[low:i] != label[i]) & ((side[low:i] != side[i]) | (not two)))
-        if not len(js):
-            continue
-        common = np.bitwise_count(maps[js] & maps[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(size[i] - (ones[i] - common), size[js] - (ones[js] - common))
-        need = -(-num * (size[i] + size[js]) // (num + den))
-        for j in js[most >= need]:
-            if label[j] != label[i] and (decide is None or decide(i, j)):
-                out.join(i, int(j))
-                label[label == label[j]] = label[i]
+        fit = low + np.flatnonzero((label[low:i] != label[i]) & ((side[low:i] != side[i]) | (not two)))
+        own, own_ones = maps[i], ones[i]
+        for k in range(len(first) - 1, -1, -1):
+            js = fit[(fit >= first[k]) & (fit < first[k] + len(stack[k]))]
+            if not len(js):
+                continue
+            while len(own) > stack[k].shape[1]:
+                own = own[: len(own) // 2] | own[len(own) // 2 :]
+                own_ones = int(np.bitwise_count(own).sum())
+            common = np.bitwise_count(stack[k][js - first[k]] & own).sum(axis=1, dtype=np.int64)
+            most = np.minimum(size[i] - (own_ones - common), size[js] - (ones[js] - common))
+            need = -(-num * (size[i] + size[js]) // (num + den))
+            for j in js[most >= need]:
+                if label[j] != label[i] and (decide is None or decide(i, j)):
+                    out.join(i, int(j))
+                    label[label == label[j]] = label[i]
     return out
 
 
@@ -192,7 +204,7 @@ def link_tile(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> l
         spot[spot == len(b)] = 0
         return int((b[spot] == a).sum()) >= required(len(a), len(b), num, den)
 
-    found = link(np.array([len(x) for x in ranked], dtype=np.int64), np.stack([bitmap(x) for x in ranked]), side[order], num, den, decide)
+    found = link(np.array([len(x) for x in ranked], dtype=np.int64), [bitmap(x) for x in ranked], side[order], num, den, decide)
     return [(int(order[i]), int(order[found.root(i)])) for i in range(len(ranked)) if found.root(i) != i]
 
 
@@ -316,7 +328,9 @@ def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
 def _bitmap_batches(num: int, den: int):
     """Rows come sorted by list and size."""
 
-    def solve(nodes: np.ndarray, size: np.ndarray, maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        nodes, size = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        maps = [m for x in held for m in x[2]]
         found = link(size, maps, np.zeros(len(size)), num, den)
         root = np.array([found.root(i) for i in range(len(size))])
         some = np.flatnonzero(root != np.arange(len(root)))
@@ -324,23 +338,23 @@ def _bitmap_batches(num: int, den: int):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
         key = None
         for batch in batches:
             lists = batch.column("list").to_numpy()
             nodes, size = batch.column("node").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
-            maps = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), dtype=np.uint64).reshape(len(lists), -1)
+            maps = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("bitmap").to_pylist()]
             cut = np.concatenate(([0], np.flatnonzero(lists[1:] != lists[:-1]) + 1, [len(lists)]))
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if a == b:
                     continue
                 if held and lists[a] != key:
-                    yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    yield from solve(held)
                     held = []
                 key = lists[a]
                 held.append((nodes[a:b], size[a:b], maps[a:b]))
         if held:
-            yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from solve(held)
 
     return run
 

@@ -87,4 +87,28 @@ def test_bitmaps_bound_the_overlap():
         a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate((a[: n // 2], rnd.integers(0, 1 << 63, n // 2, dtype=np.uint64))))
         x, y = m.bitmap(a), m.bitmap(b)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] | y[len(y) // 2 :]
         assert len(a) - int(np.bitwise_count(x & ~y).sum()) >= len(np.intersect1d(a, b))
+
+
+def test_tiles_of_sets_with_bitmaps_of_many_widths():
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    base = np.unique(rnd.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    sets = [np.sort(rnd.permutation(base)[:n]) for n in (4999, 4600, 4200, 2000, 1100, 1020, 1000, 990, 3, 3)]
+    sets += [np.sort(np.concatenate((s[:-1], rnd.integers(0, 1 << 63, 1, dtype=np.uint64)))) for s in sets]
+    up = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j])):
+                a, b = up[i], up[j]
+                up = [a if x == b else x for x in up]
+    label = list(range(len(sets)))
+    for i, j in m.link_tile(sets, np.zeros(len(sets)), 90, 100):
+        a, b = label[i], label[j]
+        label = [a if x == b else x for x in label]
+    assert len(set(zip(up, label))) == len(set(up)) == len(set(label))
