@@ -27,6 +27,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.voronoi_topk import top_inner
+
+    return top_inner(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gneiss.llm.byte_bpe import encoded
 
@@ -46,11 +52,76 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.lattice_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.url_cascade import judged
+
+    return judged(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.html_text import extracted
+
+    out = extracted(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_voronoi_topk": op2_voronoi_topk,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_lattice_dedup": op5_lattice_dedup,
+    "op7_url_cascade": op7_url_cascade,
+    "op10_html_text": op10_html_text,
 }
 
 #: DuckDB SQL of those queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}
+
+ORACLES["op2_voronoi_topk"] = """
+WITH v AS (
+    SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scores AS (
+    SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.id <> c.id AND len(q.x) = len(c.x)
+    WHERE q.id % 100 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES["op7_url_cascade"] = """
+WITH r(verdict, h, p) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), a AS (
+    SELECT page_id, row_number() OVER () AS n, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), b AS (
+    SELECT page_id, n, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a
+), c AS (
+    SELECT page_id, n, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b
+), d AS (
+    SELECT c.n, h || p AS rule, verdict, row_number() OVER (PARTITION BY c.n ORDER BY length(h || p) DESC, length(h) DESC) AS k
+    FROM c JOIN r ON (c.host = h OR ends_with(c.host, '.' || h)) AND starts_with(c.path, p)
+)
+SELECT page_id, host, path, d.rule AS rule, coalesce(d.verdict, 'allow') AS verdict FROM c LEFT JOIN d ON c.n = d.n AND d.k = 1
+"""
