@@ -74,6 +74,28 @@ def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.mixing import mixed, tokens, topic
+
+    docs = _table(spark, sf_dir, "documents")
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}
+    out = mixed(docs, margins, tokens(F.col("text")))
+    return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.kneser_ney import classified
+
+    out = classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.drop("text_key")
+
+
+def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gneiss.llm.log_bilinear import scored
+
+    return scored(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gneiss.llm.html_text import extracted
 
@@ -87,7 +109,10 @@ QUERIES: dict[str, Query] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_lattice_dedup": op5_lattice_dedup,
+    "op6_mixing": op6_mixing,
     "op7_url_cascade": op7_url_cascade,
+    "op8_kneser_ney_quality": op8_kneser_ney_quality,
+    "op9_log_bilinear": op9_log_bilinear,
     "op10_html_text": op10_html_text,
 }
 
@@ -125,3 +150,33 @@ WITH r(verdict, h, p) AS (
 )
 SELECT page_id, host, path, d.rule AS rule, coalesce(d.verdict, 'allow') AS verdict FROM c LEFT JOIN d ON c.n = d.n AND d.k = 1
 """
+
+
+def _mixing_sql(rounds: int = 12, temper: float = 0.8) -> str:
+    """The rounds of fitting, written out."""
+    parts = [
+        """d AS (
+    SELECT doc_id, source, lang, CASE WHEN strpos(text, ' | ') > 0 THEN 'table' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
+        CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens
+    FROM documents
+)""",
+        "c0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n, CAST(sum(n_tokens) AS DOUBLE) AS w FROM d GROUP BY source, lang, topic)",
+    ]
+    margins = ("source", "lang", "topic")
+    for m in margins:
+        parts.append(f"t_{m} AS (SELECT {m} AS v, pow(sum(n), {temper}) / sum(pow(sum(n), {temper})) OVER () AS t FROM c0 GROUP BY {m} HAVING sum(n) > 0)")
+    k = 0
+    for _ in range(rounds):
+        for m in margins:
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.n, CASE WHEN s.s > 0 THEN c.w * coalesce(t.t, 0) / s.s ELSE 0 END AS w FROM c{k} c JOIN (SELECT {m} AS v, sum(w) AS s FROM c{k} GROUP BY {m}) s ON c.{m} IS NOT DISTINCT FROM s.v LEFT JOIN t_{m} t ON c.{m} IS NOT DISTINCT FROM t.v)")
+            k += 1
+    parts.append(f"f AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN w / n ELSE 0 END AS f FROM c{k})")
+    parts.append("p AS (SELECT source, lang, topic, f / coalesce(nullif((SELECT max(f) FROM f), 0), 1) AS p FROM f)")
+    return (
+        "WITH " + ",\n".join(parts) + "\nSELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(p.p, 6) AS probability,"
+        " CAST(CAST('0x' || substr(md5(concat_ws(':', 'mix', CAST(d.doc_id AS VARCHAR))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < p.p AS sampled"
+        " FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic IS NOT DISTINCT FROM p.topic"
+    )
+
+
+ORACLES["op6_mixing"] = _mixing_sql()

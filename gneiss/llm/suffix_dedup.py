@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -294,3 +295,26 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     joined = base.alias("b").join(runs.alias("r"), F.col("b.id").eqNullSafe(F.col("r.id")) & (F.col("b.text_key") == F.col("r.text_key")), "left").select("b.id", "b.text_key", "b.text", "r.runs")
     run, schema = _apply_batches(window, base.schema["id"].dataType)
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 400, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs`` with the repeats cut out of ``text_col``; parts of characters at the cuts go too."""
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
+        out = []
+        for t, r in zip(text, runs, strict=True):
+            raw = np.frombuffer(t.encode(), dtype=np.uint8)
+            edge = np.zeros(len(raw) + 1, dtype=np.int32)
+            np.add.at(edge, [x["first"] for x in r], 1)
+            np.add.at(edge, [x["last"] + window for x in r], -1)
+            out.append(raw[np.cumsum(edge[:-1]) <= 0].tobytes().decode("utf-8", "ignore"))
+        return pd.Series(out)
+
+    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, window=window, hot=hot)
+    runs = written(runs.groupBy(F.col("id").alias("_cut_id"), F.col("text_key").alias("_cut_key")).agg(F.collect_set(F.struct("first", "last")).alias("_cut_runs")), "runs")
+    joined = docs.join(runs, docs[id_col].eqNullSafe(F.col("_cut_id")) & (text_key(docs[text_col]) == F.col("_cut_key")), "left")
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    changed = F.col("_cut_runs").isNotNull()
+    text = cut(F.when(changed, F.col(text_col)).otherwise(""), F.coalesce("_cut_runs", none))
+    return joined.withColumn(text_col, F.when(changed, text).otherwise(F.col(text_col))).select(*docs.columns)

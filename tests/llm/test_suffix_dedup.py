@@ -93,3 +93,15 @@ def test_refine_orders_by_content():
         grams.setdefault(text[i : i + 37].tobytes(), set()).add(int(pointer[i]))
     assert all(len(x) == 1 for x in grams.values())
     assert len({next(iter(x)) for x in grams.values()}) == len(grams)
+
+
+def test_texts_without_repeats(spark):
+    from gneiss.llm.suffix_dedup import without_repeats
+
+    texts = corpus(7, 80, 40)
+    df = spark.createDataFrame([(i, t, "s", 1, "i", 2) for i, t in enumerate(texts)], "doc_id long, text string, first string, kept int, id string, runs int")
+    out = without_repeats(df, window=40)
+    assert out.columns == df.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    kept = {r.doc_id: bytes(r.kept).decode("utf-8", "ignore") for r in remove_repeats(df, window=40).collect()}
+    assert {k: v or "" for k, v in got.items()} == kept and got[texts.index(None)] is None
