@@ -25,11 +25,11 @@ from pyspark.sql import types as T
 
 from gneiss.llm.work import take, text_pieces
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Pieces that a worker remembers; beyond them it forgets all and goes on.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes of a piece up to which it takes part in a matrix, and cells of a matrix.
-LONGEST, CELLS = 512, 1 << 21
+LONGEST, CELLS = 512, 1 << 19
 _NONE = np.iinfo(np.int32).max
 
 
@@ -252,6 +252,7 @@ def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     [take(batch, "id", np.arange(first, stop)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.Array.from_buffers(pa.binary(), stop - first, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(back)])],
                     names=["id", "ids", "decoded"],
                 )
+        own._forget()  # the worker may go on to other tasks
 
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     return base.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -35,7 +35,7 @@ from gneiss.llm.rolling import mix
 from gneiss.llm.work import take, text_pieces, written
 from gneiss.llm.words import fingerprints, shingles
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Cells of the table of approximate word counts; it is broadcast as one byte a cell.
 CELLS = 1 << 20
 #: Rows of that table that are summed together.

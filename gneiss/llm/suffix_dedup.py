@@ -34,7 +34,7 @@ from gneiss.llm.rolling import every, mix, prefix, sliding_argmin, span
 from gneiss.llm.work import drop_written, take, text_pieces, written
 
 #: Bytes of text handled at once in a Python worker; longer texts are cut with an overlap of one window.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Distinct contexts in one bucket above which it is split over tasks.
 HOT = 20_000
 

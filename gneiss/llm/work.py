@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch while a table is written: texts are long, and a batch is in memory whole.
+ROWS = 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,7 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, so lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gneiss/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before) if int(before) > 0 else ROWS, ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._gneiss_path = path
     return out
