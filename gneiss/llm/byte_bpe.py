@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.work import take, text_pieces
+from gneiss.llm.work import take, text_pieces, tidied
 
 PIECE = 1 << 20
 #: Pieces that a worker remembers; beyond them it forgets all and goes on.
@@ -255,4 +255,4 @@ def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         own._forget()  # the worker may go on to other tasks
 
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
-    return base.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return base.mapInArrow(tidied(run), schema).withColumnRenamed("id", id_col)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gneiss.llm.work import tidied
+
 FIT_PAGES = 2000
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label|itemprop|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I | re.S)
@@ -200,7 +202,7 @@ def fit(pages: DataFrame, *, html_col: str = "html", fit_pages: int = FIT_PAGES)
         if into:
             yield pa.RecordBatch.from_arrays([pa.array(list(into)), pa.array(list(into.values()), pa.int64())], names=["name", "n"])
 
-    rows = some.mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(10_000).collect()
+    rows = some.mapInArrow(tidied(run), "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(10_000).collect()
     return fitted({r["name"]: r["n"] for r in rows})
 
 
@@ -215,4 +217,4 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
             texts = [Page(x).main(learned) if x else "" for x in batch.column("_html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return base.mapInArrow(run, T.StructType([*(base.schema[c] for c in keep), T.StructField("text", T.StringType())]))
+    return base.mapInArrow(tidied(run), T.StructType([*(base.schema[c] for c in keep), T.StructField("text", T.StringType())]))

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from gneiss.llm.components import connected
 from gneiss.llm.rolling import mix
-from gneiss.llm.work import take, text_pieces, written
+from gneiss.llm.work import take, text_pieces, tidied, written
 from gneiss.llm.words import fingerprints, shingles
 
 PIECE = 1 << 20
@@ -78,7 +78,7 @@ def cell_ranks(texts: DataFrame) -> np.ndarray:
         total = np.sum([np.frombuffer(x, dtype=np.uint32).astype(np.float64) for x in pdf["counts"]], axis=0)
         return pd.DataFrame({"block": [key[0]], "ranks": [np.ceil(4 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
-    parts = texts.mapInArrow(count, "block int, counts binary")
+    parts = texts.mapInArrow(tidied(count), "block int, counts binary")
     out = np.zeros((CELLS // _BLOCK, _BLOCK), dtype=np.uint8)
     for r in parts.groupBy("block").applyInPandas(add, "block int, ranks binary").collect():
         out[r["block"]] = np.frombuffer(r["ranks"], dtype=np.uint8)
@@ -278,7 +278,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     ranks = spark.sparkContext.broadcast(cell_ranks(base.select("text")))
     run, schema = _signature_batches(k, num, den, ranks, base.schema["id"].dataType)
-    found = written(base.mapInArrow(run, schema), "signatures")
+    found = written(base.mapInArrow(tidied(run), schema), "signatures")
 
     member = F.struct(F.col("id").isNull().alias("no"), "id", "text_key")
     classes = written(found.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.first("bitmap").alias("bitmap"), F.min(member).alias("member")), "classes")
@@ -288,8 +288,8 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = base.dropDuplicates(["id", "text_key"]) if _repeats(found) else base
     texts = texts.alias("b").join(asked.alias("a"), F.col("b.id").eqNullSafe(F.col("a.id")) & (F.col("b.text_key") == F.col("a.text_key"))).select("a.cluster", "a.node", "b.text")
     run, schema = _set_batches(k)
-    sets = written(texts.mapInArrow(run, schema), "sets")
-    pairs = tiles(sets, num, den).repartition("cluster", "tile").sortWithinPartitions("cluster", "tile").mapInArrow(_tile_batches(num, den), "a long, b long")
+    sets = written(texts.mapInArrow(tidied(run), schema), "sets")
+    pairs = tiles(sets, num, den).repartition("cluster", "tile").sortWithinPartitions("cluster", "tile").mapInArrow(tidied(_tile_batches(num, den)), "a long, b long")
     grouped = written(connected(pairs), "groups")
 
     best = classes.select("node", "member").join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "member")
@@ -322,7 +322,7 @@ def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     lists = posts.where(F.col("size") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
     seats = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))
     seats = seats.join(classes.select("node", "n", "bitmap"), "node").repartition("list").sortWithinPartitions("list", "n", "node")
-    return crowded.unionByName(seats.mapInArrow(_bitmap_batches(num, den), "a long, b long")).distinct()
+    return crowded.unionByName(seats.mapInArrow(tidied(_bitmap_batches(num, den)), "a long, b long")).distinct()
 
 
 def _bitmap_batches(num: int, den: int):

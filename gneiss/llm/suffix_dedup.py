@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.llm.rolling import every, mix, prefix, sliding_argmin, span
-from gneiss.llm.work import drop_written, take, text_pieces, written
+from gneiss.llm.work import drop_written, take, text_pieces, tidied, written
 
 #: Bytes of text handled at once in a Python worker; longer texts are cut with an overlap of one window.
 PIECE = 1 << 20
@@ -258,7 +258,7 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     id_type = base.schema["id"].dataType
     run, schema = _interval_batches(window, id_type)
-    found = written(base.where(F.octet_length("text") >= window).mapInArrow(run, schema), "intervals")
+    found = written(base.where(F.octet_length("text") >= window).mapInArrow(tidied(run), schema), "intervals")
 
     # Written, so that both sides of the join are plain exchanges and a hot anchor can be split over tasks.
     shared = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
@@ -272,12 +272,12 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     asked = contexts.join(buckets, "anchor").select("anchor", "hot", "member.*").groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "last", "anchor", "hot")).alias("asked"))
     once = base.alias("b").join(asked.alias("a"), F.col("b.id").eqNullSafe(F.col("a.id")) & (F.col("b.text_key") == F.col("a.text_key"))).select("b.id", "b.text_key", "b.text", "a.asked")
     run, schema = _context_batches(window, id_type)
-    members = written(once.mapInArrow(run, schema), "members")
+    members = written(once.mapInArrow(tidied(run), schema), "members")
 
     runs_schema = T.StructType([members.schema[x] for x in ("id", "text_key", "first", "last")])
-    near = members.where("not hot").select("id", "text_key", "first", "anchor", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_refine_batches(window), runs_schema)
+    near = members.where("not hot").select("id", "text_key", "first", "anchor", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidied(_refine_batches(window)), runs_schema)
     run, schema = _window_batches(window, id_type)
-    windows = members.where("hot").mapInArrow(run, schema)
+    windows = members.where("hot").mapInArrow(tidied(run), schema)
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
     far = windows.join(twice, ["one", "two"], "left_semi").select("id", "text_key", "first", F.col("first").alias("last"))
     return whole.unionByName(near).unionByName(far)
@@ -294,7 +294,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     runs = written(runs.groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "runs")
     joined = base.alias("b").join(runs.alias("r"), F.col("b.id").eqNullSafe(F.col("r.id")) & (F.col("b.text_key") == F.col("r.text_key")), "left").select("b.id", "b.text_key", "b.text", "r.runs")
     run, schema = _apply_batches(window, base.schema["id"].dataType)
-    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tidied(run), schema).withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 400, hot: int = HOT) -> DataFrame:

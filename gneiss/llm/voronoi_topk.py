@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.vectors import by_width, finite
-from gneiss.llm.work import take, written
+from gneiss.llm.work import take, tidied, written
 
 PIVOTS = 64
 #: Members of a cell, and queries, in one block.
@@ -147,9 +147,9 @@ def top_inner(vectors: DataFrame, asks: Column, *, id_col: str = "vec_id", vecto
     base = base.where(F.col("id").isNotNull() & finite(F.col("vector")))
     chosen = base.orderBy(F.xxhash64("id"), "id", "vector").limit(pivots).select("vector").collect()
     shared = spark.sparkContext.broadcast(Pivots([scaled(np.array(r["vector"], dtype=np.float64)) for r in chosen]))
-    rows = written(base.mapInArrow(lambda b: _assign(shared, b), "id long, asks boolean, cell int, distance double, vector binary"), "cells")
+    rows = written(base.mapInArrow(tidied(lambda b: _assign(shared, b)), "id long, asks boolean, cell int, distance double, vector binary"), "cells")
 
-    parts = rows.select("cell", "distance").mapInArrow(_summaries(k), "cell int, n long, radius double, near array<double>")
+    parts = rows.select("cell", "distance").mapInArrow(tidied(_summaries(k)), "cell int, n long, radius double, near array<double>")
     cells = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
     summary = spark.sparkContext.broadcast({r["cell"]: (-(-r["n"] // BLOCK), r["radius"], np.array(r["near"])) for r in cells})
 
@@ -175,7 +175,7 @@ def top_inner(vectors: DataFrame, asks: Column, *, id_col: str = "vec_id", vecto
 
     asked = rows.where("asks").select("id", "vector")
     groups = max(1, -(-asked.count() // QUERIES))
-    routed = asked.mapInArrow(route, "query_id long, cell int, block int, vector binary").withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    routed = asked.mapInArrow(tidied(route), "query_id long, cell int, block int, vector binary").withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
     if not cells:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks = spark.createDataFrame([(r["cell"], -(-r["n"] // BLOCK)) for r in cells], "cell int, blocks int")
