@@ -192,7 +192,10 @@ def fitted(counts: dict[str, int]) -> dict[str, float]:
 
 def fit(pages: DataFrame, *, html_col: str = "html", fit_pages: int = FIT_PAGES) -> dict[str, float]:
     """Weights from the ``fit_pages`` pages with a marked article that have the smallest hash of their html."""
-    some = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).orderBy(F.xxhash64("html")).limit(fit_pages)
+    marked = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    # Hashes alone are sorted; the pages themselves stay where they are.
+    last = marked.select("h").orderBy("h").limit(fit_pages).agg(F.max("h")).first()[0]
+    some = marked.where(F.col("h") <= F.lit(last)).select("html") if last is not None else marked.select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: Counter = Counter()
