@@ -62,10 +62,9 @@ def cart_cuts(long: DataFrame, leaves: int, min_share: float) -> dict[str, list[
     sizes = {r["feature"]: r["d"] for r in freq.groupBy("feature").agg(F.count(F.lit(1)).alias("d")).collect()}
     many = [f for f, d in sizes.items() if d > FINE]
     if many:
-        ends = rows.where(F.col("feature").isin(many)).groupBy("feature").agg(F.percentile_approx("value", [i / FINE for i in range(1, FINE)], F.lit(10 * FINE)).alias("ends"))
-        table = freq.where(F.col("feature").isin(many)).join(F.broadcast(ends), "feature")
-        # A binary search by the SQL function would need sorted-array support, so the range is found in Arrow batches.
-        coarse = table.mapInPandas(_to_ranges, "feature string, value double, n long, bad double").groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+        ends = rows.where(F.col("feature").isin(many)).groupBy("feature").agg(F.percentile_approx("value", [i / FINE for i in range(1, FINE)], F.lit(2 * FINE)).alias("ends")).collect()
+        shared = long.sparkSession.sparkContext.broadcast({r["feature"]: np.unique(r["ends"]) for r in ends})
+        coarse = freq.where(F.col("feature").isin(many)).mapInPandas(lambda x: _to_ranges(x, shared.value), "feature string, value double, n long, bad double").groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         freq = freq.where(~F.col("feature").isin(many)).unionByName(coarse)
 
     def grow(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
@@ -76,12 +75,12 @@ def cart_cuts(long: DataFrame, leaves: int, min_share: float) -> dict[str, list[
     return {r["feature"]: list(r["cuts"]) for r in freq.groupBy("feature").applyInPandas(grow, "feature string, cuts array<double>").collect()}
 
 
-def _to_ranges(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+def _to_ranges(frames: Iterable[pd.DataFrame], ends: dict[str, np.ndarray]) -> Iterable[pd.DataFrame]:
     for pdf in frames:
-        for _, part in pdf.groupby("feature"):
-            ends = np.unique(np.asarray(part["ends"].iloc[0]))
-            at = np.minimum(np.searchsorted(ends, part["value"].to_numpy()), len(ends) - 1)
-            yield pd.DataFrame({"feature": part["feature"], "value": np.maximum(ends[at], part["value"].to_numpy()), "n": part["n"], "bad": part["bad"]})
+        for feature, part in pdf.groupby("feature"):
+            own = ends[feature]
+            at = np.minimum(np.searchsorted(own, part["value"].to_numpy()), len(own) - 1)
+            yield pd.DataFrame({"feature": part["feature"], "value": np.maximum(own[at], part["value"].to_numpy()), "n": part["n"], "bad": part["bad"]})
 
 
 def _iv(n: float, bad: float, total: float, bads: float) -> float:
