@@ -134,16 +134,44 @@ def approx_unique(spark, sf):
     return overview.approximate_unique(_table(spark, sf, "lineitem"), MEASURES)
 
 
-@_query("overview_profile")
+def _spark_sql(melted: str, features: list[str], clean: str, bins: int = 8) -> str:
+    """CTE ``sparks`` (feature, distribution) from the CTE ``melted`` (feature, v)."""
+    names = ", ".join(f"('{f}')" for f in features)
+    return f"""ends AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM {melted} WHERE {clean} GROUP BY feature),
+placed AS (SELECT m.feature, lo = hi AS flat, least({bins - 1}, greatest(0, CAST(ceil((v - lo) / nullif(hi - lo, 0) * {bins}) AS INT) - 1)) AS bin FROM {melted} m JOIN ends USING (feature) WHERE {clean}),
+bars AS (SELECT feature, bin, bool_or(flat) AS flat, count(*) AS n FROM placed GROUP BY feature, bin),
+glyphs AS (SELECT feature, bin, flat, substr('▂▃▄▅▆▇█', CAST(floor(n / max(n) OVER (PARTITION BY feature) * 6) AS INT) + 1, 1) AS glyph FROM bars),
+sparks AS (SELECT f.feature, CASE WHEN bool_or(g.flat) THEN '____█____' ELSE string_agg(coalesce(g.glyph, '_'), '' ORDER BY i) END AS distribution FROM (VALUES {names}) f(feature) CROSS JOIN range({bins}) r(i) LEFT JOIN glyphs g ON g.feature = f.feature AND g.bin = i GROUP BY f.feature)"""
+
+
+_PROFILED = ["price_dirty", "qty_dirty", "l_tax"]
+
+
+@_query(
+    "overview_profile",
+    f"""WITH {DIRTY_SQL}, {_melted(_PROFILED, "d")}, {_melted(["flag_dirty"], "d", kind="VARCHAR", name="c")}, {_spark_sql("m", _PROFILED, _CLEAN)},
+a AS (SELECT feature, CAST(v AS VARCHAR) AS txt, CAST(count(*) AS DOUBLE) AS n, v IS NULL OR v = -999 AS gone, coalesce(v = 0, false) AS zero, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, v NULLS LAST) AS k FROM m GROUP BY feature, v
+    UNION ALL SELECT feature, v, count(*), v IS NULL OR v = 'unknown', false, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, v NULLS LAST) FROM c GROUP BY feature, v),
+q AS (SELECT feature, round(sum(CASE WHEN gone THEN n ELSE 0 END) / sum(n), 6) AS missing_rate, round(sum(CASE WHEN zero THEN n ELSE 0 END) / sum(n), 6) AS zeros_rate, round(count(*) / sum(n), 6) AS unique_rate, round(max(n) / sum(n), 6) AS top1_ratio, max(CASE WHEN k = 1 THEN txt END) AS top1_value FROM a GROUP BY feature),
+o AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY feature) AS k, avg(v) OVER (PARTITION BY feature) AS mu FROM m WHERE {_CLEAN}),
+t AS (SELECT feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, {_QUANTILE.format(q=0.25)} AS p25, median(v) AS median, {_QUANTILE.format(q=0.75)} AS p75, max(v) AS max,
+    round(avg(pow(v - mu, 3)) / pow(avg(pow(v - mu, 2)), 1.5), 6) AS skew, round(avg(pow(v - mu, 4)) / pow(avg(pow(v - mu, 2)), 2) - 3, 6) AS kurtosis FROM o GROUP BY feature)
+SELECT q.feature, CASE q.feature WHEN 'flag_dirty' THEN 'string' WHEN 'qty_dirty' THEN 'bigint' ELSE 'double' END AS dtype, distribution, missing_rate, zeros_rate, unique_rate, top1_ratio, top1_value, mean, std, min, p25, median, p75, max, skew, kurtosis
+FROM q LEFT JOIN t ON q.feature = t.feature LEFT JOIN sparks s ON q.feature = s.feature""",
+)
 def overview_profile(spark, sf):
     from gneiss.operators.profile import Profiler
 
-    return Profiler(_dirty(spark, sf), ["price_dirty", "qty_dirty", "flag_dirty", "l_tax"], missing=ROLES.missing, special=ROLES.special).profile().overview
+    out = Profiler(_dirty(spark, sf), ["price_dirty", "qty_dirty", "flag_dirty", "l_tax"], missing=ROLES.missing, special=ROLES.special).profile().overview
+    return _rounded(out, "missing_rate", "zeros_rate", "unique_rate", "top1_ratio", "mean", "std", "skew", "kurtosis")
 
 
-@_query("sparkline")
+_DRAWN = ["value", "user_id"]
+
+
+@_query("sparkline", f"WITH {_melted(_DRAWN, 'events')}, {_spark_sql('m', _DRAWN, 'v IS NOT NULL')} SELECT feature, distribution FROM sparks")
 def sparkline(spark, sf):
-    return overview.sparklines(_table(spark, sf, "events"), ["value", "user_id"])
+    return overview.sparklines(_table(spark, sf, "events"), _DRAWN)
 
 
 # ---- trends by ship month
@@ -200,9 +228,19 @@ def trend_stability(spark, sf):
     return out.select("feature", F.round("group_mean", 4).alias("group_mean"), F.round("group_var", 3).alias("group_var"), F.round("group_cv", 6).alias("group_cv"))
 
 
-@_query("trend_pivot")
+_MONTHS = [f"{y}-{m:02d}-01" for y in range(1995, 2002) for m in range(1, 13) if (y, m) < (2001, 12)]
+
+
+@_query(
+    "trend_pivot",
+    f"WITH {_BOTH}, t AS (SELECT feature, grp, is_total, round({_SIMPLE['mean']}, 6) AS value FROM x GROUP BY feature, grp, is_total) SELECT feature, "
+    + ", ".join(f"max(CASE WHEN grp = '{m}' THEN value END) AS \"{m}\"" for m in _MONTHS)
+    + ", max(CASE WHEN is_total THEN value END) AS total, round(coalesce(avg(value) FILTER (NOT is_total), 0), 4) AS group_mean, round(coalesce(var_samp(value) FILTER (NOT is_total), 0), 3) AS group_var,"
+    " round(coalesce(stddev_samp(value) FILTER (NOT is_total) / (abs(avg(value) FILTER (NOT is_total)) + 1e-9), 0), 6) AS group_cv FROM t GROUP BY feature",
+)
 def trend_pivot(spark, sf):
-    return overview.pivoted(_trend(spark, sf, "mean"), with_stability=True)
+    out = overview.pivoted(_trend(spark, sf, "mean"), with_stability=True)
+    return out.withColumns({"group_mean": F.round("group_mean", 4), "group_var": F.round("group_var", 3), "group_cv": F.round("group_cv", 6)})
 
 
 # ---- dates
