@@ -154,7 +154,7 @@ a AS (SELECT feature, CAST(v AS VARCHAR) AS txt, CAST(count(*) AS DOUBLE) AS n,
     UNION ALL SELECT feature, v, count(*), v IS NULL OR v = 'unknown', false, row_number() OVER (PARTITION BY feature ORDER BY count(*) DESC, v NULLS LAST) FROM c GROUP BY feature, v),
 q AS (SELECT feature, round(sum(CASE WHEN gone THEN n ELSE 0 END) / sum(n), 6) AS missing_rate, round(sum(CASE WHEN zero THEN n ELSE 0 END) / sum(n), 6) AS zeros_rate, round(count(*) / sum(n), 6) AS unique_rate, round(max(n) / sum(n), 6) AS top1_ratio, max(CASE WHEN k = 1 THEN txt END) AS top1_value FROM a GROUP BY feature),
 o AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY feature) AS k, avg(v) OVER (PARTITION BY feature) AS mu FROM m WHERE {_CLEAN}),
-t AS (SELECT feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, {_QUANTILE.format(q=0.25)} AS p25, median(v) AS median, {_QUANTILE.format(q=0.75)} AS p75, max(v) AS max,
+t AS (SELECT feature, round(avg(v), 4) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, {_QUANTILE.format(q=0.25)} AS p25, median(v) AS median, {_QUANTILE.format(q=0.75)} AS p75, max(v) AS max,
     round(avg(pow(v - mu, 3)) / pow(avg(pow(v - mu, 2)), 1.5), 6) AS skew, round(avg(pow(v - mu, 4)) / pow(avg(pow(v - mu, 2)), 2) - 3, 6) AS kurtosis FROM o GROUP BY feature)
 SELECT q.feature, CASE q.feature WHEN 'flag_dirty' THEN 'string' WHEN 'qty_dirty' THEN 'bigint' ELSE 'double' END AS dtype, distribution, missing_rate, zeros_rate, unique_rate, top1_ratio, top1_value, mean, std, min, p25, median, p75, max, skew, kurtosis
 FROM q LEFT JOIN t ON q.feature = t.feature LEFT JOIN sparks s ON q.feature = s.feature""",
@@ -163,7 +163,7 @@ def overview_profile(spark, sf):
     from gneiss.operators.profile import Profiler
 
     out = Profiler(_dirty(spark, sf), ["price_dirty", "qty_dirty", "flag_dirty", "l_tax"], missing=ROLES.missing, special=ROLES.special).profile().overview
-    return _rounded(out, "missing_rate", "zeros_rate", "unique_rate", "top1_ratio", "mean", "std", "skew", "kurtosis")
+    return _rounded(out, "missing_rate", "zeros_rate", "unique_rate", "top1_ratio", "std", "skew", "kurtosis").withColumn("mean", F.round("mean", 4))
 
 
 _DRAWN = ["value", "user_id"]
