@@ -24,7 +24,7 @@ class ProfileConfig:
     dq_metrics: tuple[str, ...] = DQ
     sparkline: bool = True
     sparkline_bins: int = 8
-    sparkline_rows: int = 200_000
+    sparkline_rows: int | None = None
     missing: tuple = ()
     special: tuple = ()
     psi_bins: int = 10
@@ -188,12 +188,13 @@ def pivoted(long: DataFrame, groups: list[str] | None = None, with_stability: bo
 def sparklines(df: DataFrame, features: list[str], config: ProfileConfig = ProfileConfig(), seed: int = 7) -> DataFrame:
     """``feature`` and ``distribution``: a glyph for each bin of an equal-width histogram.
 
-    Constants have a lone bar, features without values a flat line.  Tables of more rows than ``sparkline_rows`` are sampled: this
-    drawing is a sample by design.
+    Constants have a lone bar, features without values a flat line.  All rows are counted; only where ``sparkline_rows`` is set are
+    tables of more rows sampled.
     """
     glyphs, bins = "▂▃▄▅▆▇█", config.sparkline_bins
-    total = df.count()
-    some = df if total <= config.sparkline_rows else df.sample(fraction=min(1.0, config.sparkline_rows / total), seed=seed)
+    some = df
+    if config.sparkline_rows is not None and (total := df.count()) > config.sparkline_rows:
+        some = df.sample(fraction=config.sparkline_rows / total, seed=seed)
     s = config.sentinels
     clean = cleaned(F.col("value"), s.numbers("missing") + s.numbers("special"))
     long = melt(some, features).withColumn("value", clean).where("value is not null and not isnan(value)")

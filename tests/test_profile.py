@@ -169,3 +169,11 @@ def test_frames(spark):
     assert pick_features(spark.createDataFrame([(1, "a", 1.0, True)], "i int, s string, d double, b boolean"), kinds=[int, float], exclude=["d"]) == ["i"]
     with pytest.raises(ValueError):
         pick_features(df, ["none"])
+
+
+def test_sparklines_count_all_rows(spark):
+    n = 1_000_000
+    x = F.when(F.col("id") == 17, -900.0).when(F.col("id") == n - 5, 900.0).otherwise(F.col("id") % 7)
+    df = spark.range(n).select(*[F.when(F.col("id") == 100 * i + 3, 10.0 ** (i + 3)).otherwise(x).alias(f"x{i}") for i in range(6)])
+    got = {r["feature"]: r["distribution"] for r in overview.sparklines(df, df.columns).collect()}
+    assert got == {"x0": "▂__█___▂", "x1": "█▂_____▂"} | {f"x{i}": "█______▂" for i in range(2, 6)}
