@@ -2,9 +2,11 @@
 
 1. A bounded set of pivots is taken in the order of a hash of the ids.  Every vector goes to the cell of
    its nearest pivot of its length; where there is none, to that of the origin.
-2. A summary of each cell has its count, its radius and its members' smallest distances from the pivot.
+2. A summary of each cell has its count, its radius and its members' smallest distances from the pivot.  In these
+   distances an id has one place over all cells of its length, however often it comes.
 3. For a query q and a member x at distance d from pivot p, q.x lies within |q| d of q.p.  The summaries give
-   a score that k members reach at least; only cells whose upper bound reaches it get a copy of the query.
+   a score that k + 1 ids reach at least, so k besides the query's own; only cells whose upper bound reaches it get a
+   copy of the query.
 4. Cells are cut into blocks of bounded size, queries too; each pair of blocks is solved exactly in one
    task, and the winners of all blocks are merged.
 
@@ -80,17 +82,15 @@ def _assign(pivots, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def _summaries(k: int):
+def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[int, float, np.ndarray]] = {}
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
             cells, distance = batch.column("cell").to_numpy(), batch.column("distance").to_numpy()
             for c in np.unique(cells):
-                own = distance[cells == c]
-                n, radius, near = found.get(int(c), (0, 0.0, np.empty(0)))
-                found[int(c)] = (n + len(own), max(radius, own.max()), np.sort(np.concatenate((near, own)))[: k + 1])
+                found[int(c)] = np.sort(np.concatenate((found.get(int(c), np.empty(0)), distance[cells == c])))[: k + 1]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()]), pa.array([x[2] for x in found.values()], pa.list_(pa.float64()))], names=["cell", "n", "radius", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.list_(pa.float64()))], names=["cell", "near"])
 
     return run
 
@@ -149,8 +149,10 @@ def top_inner(vectors: DataFrame, asks: Column, *, id_col: str = "vec_id", vecto
     shared = spark.sparkContext.broadcast(Pivots([scaled(np.array(r["vector"], dtype=np.float64)) for r in chosen]))
     rows = written(base.mapInArrow(tidied(lambda b: _assign(shared, b)), "id long, asks boolean, cell int, distance double, vector binary"), "cells")
 
-    parts = rows.select("cell", "distance").mapInArrow(tidied(_summaries(k)), "cell int, n long, radius double, near array<double>")
-    cells = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
+    once = rows.groupBy("id", F.length("vector").alias("width")).agg(F.min(F.struct("distance", "cell")).alias("x")).select("x.cell", "x.distance")
+    near = once.mapInArrow(tidied(_nearest(k)), "cell int, near array<double>").groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius"))
+    cells = sizes.join(near, "cell", "left").select("cell", "n", "radius", F.coalesce("near", F.array().cast("array<double>")).alias("near")).collect()
     summary = spark.sparkContext.broadcast({r["cell"]: (-(-r["n"] // BLOCK), r["radius"], np.array(r["near"])) for r in cells})
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

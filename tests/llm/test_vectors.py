@@ -43,6 +43,19 @@ def test_top_k_against_brute_force(spark, monkeypatch, block, pivots):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == len(want)
 
 
+def test_top_k_with_many_rows_of_one_id(spark):
+    x = np.random.default_rng(4).standard_normal((40, 4)).round(2)
+    x[0], x[7] = (10, 0, 0, 0), (4, 0, 0, 0)
+    rows = [(i, x[i].tolist(), 0, "", 0) for i in range(40) for _ in range({0: 20, 7: 25}.get(i, 1))]
+    got = voronoi.top_inner(spark.createDataFrame(rows, SCHEMA), F.col("vec_id").isin(0, 3), k=10, pivots=83).collect()
+    whole = [[math.floor(1024 * float(np.float32(c))) for c in v] for v in x]
+    want = set()
+    for q in (0, 3):
+        best = {i: sum(a * b for a, b in zip(whole[q], whole[i])) for i in range(40) if i != q}
+        want |= {(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda t: (-t[1], t[0]))[:10])}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == 20
+
+
 def test_top_k_of_empty_tables_and_large_components(spark):
     assert voronoi.top_inner(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
     rows = [(0, [3e18, 1.0], 0, "", 0), (1, [2e15, -1.0], 0, "", 0), (2, [1e-9, -1e-9], 0, "", 0)]
