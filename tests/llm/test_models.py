@@ -114,6 +114,33 @@ def test_classifier(spark):
     assert kneser_ney.classified(df.limit(0), labels).count() == 0
 
 
+def test_symbols_are_distinct():
+    points = [*range(4, 0x3200), *range(0x4DF0, 0x4F00), 0xFFFF, 0x1F600, 0x1F601, 0x10FFFF]
+    code, bounds = kneser_ney.codes([chr(c) for c in points])
+    assert len({tuple(code[a:b]) for a, b in zip(bounds[:-1], bounds[1:])}) == len(points)
+    texts = ["ab", "", "漢字a", "é😀", "a"]
+    code, bounds = kneser_ney.codes(texts)
+    assert np.diff(bounds).tolist() == [3, 1, 6, 4, 2] and bounds[-1] == len(code)
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        assert (kneser_ney.codes([t])[0] == code[a:b]).all()
+
+
+def test_classifier_of_chinese(spark):
+    rnd = random.Random(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    words = ["".join(rnd.sample(letters, 2)) for _ in range(80)]
+    rows = []
+    for i in range(600):
+        t = [c for _ in range(rnd.randint(40, 60)) for c in rnd.choice(words)]
+        if i % 9 == 0:
+            rnd.shuffle(t)
+        rows.append((i, "".join(t), "zh"))
+    labels = spark.createDataFrame([(i, int(i % 9 != 0), 0) for i in range(600) if i % 2], "doc_id long, quality int, toxic int")
+    got = kneser_ney.classified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    assert len(got) == 600 and not any(r.kept for r in got if r.doc_id % 9 == 0)
+    assert np.mean([r.kept for r in got if r.doc_id % 9]) > 0.95
+
+
 def test_mixing(spark, monkeypatch):
     df = spark.createDataFrame(docs_rows(6, 3000), SCHEMA)
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
