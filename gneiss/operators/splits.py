@@ -9,11 +9,15 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct values of a feature above which the tree looks for splits between 1/8192 quantiles instead of all values.
+from gneiss.plans.store import stored
+
+#: Distinct values of a feature above which its tree is grown by rounds over the cluster instead of in one task; the cuts are the same.
 FINE = 8192
+#: Most value ranges of such a feature.
+_RANGES = 1024
 
 
 def tree_cuts(value: np.ndarray, n: np.ndarray, bad: np.ndarray, leaves: int, min_share: float) -> list[float]:
@@ -53,34 +57,82 @@ def tree_cuts(value: np.ndarray, n: np.ndarray, bad: np.ndarray, leaves: int, mi
 
 
 def cart_cuts(long: DataFrame, leaves: int, min_share: float) -> dict[str, list[float]]:
-    """Tree cuts of each feature from ``feature``, ``value``, ``y``; counts are taken on the cluster, each feature's tree in one task.
+    """Tree cuts of each feature from ``feature``, ``value``, ``y``, between any two distinct values.
 
-    A feature with more than ``FINE`` distinct values is first counted by ``FINE`` quantile ranges, which bounds the task.
+    Counts are taken on the cluster.  A feature of up to ``FINE`` distinct values has its tree grown in one task, others by rounds
+    over running counts that are spread by value ranges.
     """
     rows = long.where("value is not null and not isnan(value) and y is not null").withColumn("value", F.col("value").cast("float").cast("double"))
     freq = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"))
     sizes = {r["feature"]: r["d"] for r in freq.groupBy("feature").agg(F.count(F.lit(1)).alias("d")).collect()}
     many = [f for f, d in sizes.items() if d > FINE]
+    wide = {}
     if many:
-        ends = rows.where(F.col("feature").isin(many)).groupBy("feature").agg(F.percentile_approx("value", [i / FINE for i in range(1, FINE)], F.lit(2 * FINE)).alias("ends")).collect()
-        shared = long.sparkSession.sparkContext.broadcast({r["feature"]: np.unique(r["ends"]) for r in ends})
-        coarse = freq.where(F.col("feature").isin(many)).mapInPandas(lambda x: _to_ranges(x, shared.value), "feature string, value double, n long, bad double").groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        freq = freq.where(~F.col("feature").isin(many)).unionByName(coarse)
+        spread = min(_RANGES, -(-max(sizes.values()) // FINE))
+        wide = _grown(_running(freq.where(F.col("feature").isin(many)), spread), leaves, min_share)
+        freq = freq.where(~F.col("feature").isin(many))
 
     def grow(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
         found = tree_cuts(pdf["value"].to_numpy(), pdf["n"].to_numpy(), pdf["bad"].to_numpy(), leaves, min_share)
         return pd.DataFrame({"feature": [key[0]], "cuts": [found]})
 
-    return {r["feature"]: list(r["cuts"]) for r in freq.groupBy("feature").applyInPandas(grow, "feature string, cuts array<double>").collect()}
+    return wide | {r["feature"]: list(r["cuts"]) for r in freq.groupBy("feature").applyInPandas(grow, "feature string, cuts array<double>").collect()}
 
 
-def _to_ranges(frames: Iterable[pd.DataFrame], ends: dict[str, np.ndarray]) -> Iterable[pd.DataFrame]:
+def _with_range(frames: Iterable[pd.DataFrame], ends: dict[str, np.ndarray]) -> Iterable[pd.DataFrame]:
     for pdf in frames:
         for feature, part in pdf.groupby("feature"):
-            own = ends[feature]
-            at = np.minimum(np.searchsorted(own, part["value"].to_numpy()), len(own) - 1)
-            yield pd.DataFrame({"feature": part["feature"], "value": np.maximum(own[at], part["value"].to_numpy()), "n": part["n"], "bad": part["bad"]})
+            yield part.assign(range=np.searchsorted(ends[feature], part["value"].to_numpy()).astype(np.int32))
+
+
+def _running(freq: DataFrame, spread: int) -> DataFrame:
+    """``feature``, ``value``, the ``next`` value, and rows ``cn`` and bads ``cb`` up to the value.
+
+    Each range is summed for itself and the ranges' sums give the offsets, so no task holds a whole feature.
+    """
+    freq = stored(freq.withColumn("bad", F.col("bad").cast("double")))
+    ends = freq.groupBy("feature").agg(F.percentile_approx("value", [i / spread for i in range(1, spread)] or [0.5], F.lit(10 * spread)).alias("ends")).collect()
+    shared = freq.sparkSession.sparkContext.broadcast({r["feature"]: np.unique(r["ends"]) for r in ends})
+    freq = freq.mapInPandas(lambda x: _with_range(x, shared.value), "feature string, value double, n long, bad double, range int")
+    whole = Window.partitionBy("feature").orderBy("range")
+    sums = freq.groupBy("feature", "range").agg(F.sum("n").alias("rn"), F.sum("bad").alias("rb"), F.min("value").alias("least"))
+    sums = sums.select("feature", "range", (F.sum("rn").over(whole) - F.col("rn")).alias("n0"), (F.sum("rb").over(whole) - F.col("rb")).alias("b0"), F.lead("least").over(whole).alias("after"))
+    own = Window.partitionBy("feature", "range").orderBy("value")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    out = freq.select("*", F.sum("n").over(upto).alias("un"), F.sum("bad").over(upto).alias("ub"), F.lead("value").over(own).alias("follows")).join(F.broadcast(sums), ["feature", "range"])
+    return stored(out.select("feature", "value", F.coalesce("follows", "after").alias("next"), (F.col("n0") + F.col("un")).alias("cn"), (F.col("b0") + F.col("ub")).alias("cb")))
+
+
+def _grown(running: DataFrame, leaves: int, min_share: float) -> dict[str, list[float]]:
+    """The cuts of :func:`tree_cuts`; a round finds the best split of the newest two leaves of every feature."""
+    spark = running.sparkSession
+    total = {r["feature"]: (r["n"], r["b"]) for r in running.groupBy("feature").agg(F.max("cn").alias("n"), F.max_by("cb", "cn").alias("b")).collect()}
+    heaps: dict[str, list] = {f: [] for f in total}
+    out: dict[str, list[float]] = {f: [] for f in total}
+    # A leaf is the rows and bads before it and up to its end.
+    leaf = [(f, 0, 0.0, n, float(b), max(1, math.ceil(min_share * n))) for f, (n, b) in total.items() if n >= 10 * leaves]
+
+    def impurity(k, b):
+        return 2 * b * (k - b) / k
+
+    left, right = F.col("cn") - F.col("n0"), F.col("n1") - F.col("cn")
+    gain = impurity(F.col("n1") - F.col("n0"), F.col("b1") - F.col("b0")) - impurity(left, F.col("cb") - F.col("b0")) - impurity(right, F.col("b1") - F.col("cb"))
+    while leaf and leaves > 1:
+        own = F.broadcast(spark.createDataFrame(leaf, "feature string, n0 long, b0 double, n1 long, b1 double, least long"))
+        able = running.join(own, "feature").where((F.col("cn") > F.col("n0")) & (F.col("cn") < F.col("n1"))).where((left >= F.col("least")) & (right >= F.col("least")))
+        best = able.groupBy("feature", "n0", "b0", "n1", "b1", "least").agg(F.min(F.struct((-gain).alias("gain"), "value", "next", "cn", "cb")).alias("x")).where("x.gain < -1e-12")
+        for r in best.collect():
+            heapq.heappush(heaps[r["feature"]], (r["x"]["gain"], r["n0"], tuple(r)))
+        seen, leaf = {x[0] for x in leaf}, []
+        for f in seen:
+            if not heaps[f]:
+                continue
+            _, n0, b0, n1, b1, least, x = heapq.heappop(heaps[f])[2]
+            out[f].append((x["value"] + x["next"]) / 2)
+            if len(out[f]) + 1 < leaves:
+                leaf += [(f, n0, b0, x["cn"], x["cb"], least), (f, x["cn"], x["cb"], n1, b1, least)]
+    return {f: sorted(cuts) for f, cuts in out.items()}
 
 
 def _iv(n: float, bad: float, total: float, bads: float) -> float:
