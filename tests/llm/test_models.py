@@ -46,16 +46,42 @@ def brute_scores(rows):
     return sorted((-1 if r[0] is None else r[0], h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for r, t, h in zip(rows, tokens, held))
 
 
-@pytest.mark.parametrize("frequent,classes", [(1 << 18, 512), (40, 16), (3, 8)])
-def test_scores_against_brute_force(spark, frequent, classes):
+@pytest.mark.parametrize("frequent,single,groups", [(1 << 18, 510, 16), (40, 16, 3), (40, 8, 2), (3, 2, 1)])
+def test_scores_against_brute_force(spark, frequent, single, groups):
     rows = docs_rows(1)
-    got = log_bilinear.scored(spark.createDataFrame(rows, SCHEMA), n_classes=classes, n_frequent=frequent).collect()
+    got = log_bilinear.scored(spark.createDataFrame(rows, SCHEMA), n_single=single, n_groups=groups, n_frequent=frequent, rounds=1).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == brute_scores(rows)
     if frequent > 100:
         held = [r for r in got if r.held_out]
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("frequent,single", [(1 << 18, 510), (30, 8)])
+def test_probabilities_of_all_words_add_up_to_one(spark, frequent, single):
+    rows = docs_rows(1)
+    words = {w for i, t, *_ in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10 for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())}
+    held = (i for i in range(10_000, 10**9) if zlib.crc32(str(i).encode()) % 10 == 0)
+    asked = ["", "neverseen", *sorted(words)]
+    texts = [(next(held), w, None, None, 0) for w in asked]
+    got = {r.doc_id: r.score for r in log_bilinear.scored(spark.createDataFrame(rows + texts, SCHEMA), n_single=single, n_frequent=frequent, rounds=0).collect()}
+    end = got[texts[0][0]]
+    # Without training, tokens do not depend on those before them.
+    assert 10**end + sum(10 ** (got[i] - end) for i, *_ in texts[1:]) == pytest.approx(1, abs=1e-4)
+
+
+def test_model_beats_word_shares_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet", "/root/testdata/sf0.01/documents.parquet")
+    per_token = []
+    for rounds in (0, 1, 4):
+        got = log_bilinear.scored(docs, rounds=rounds).groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("s"), (F.sum("base_score") / F.sum("n_tokens")).alias("b")).collect()
+        per_token.append({r.held_out: (r.s, r.b) for r in got})
+    for held in (False, True):
+        assert per_token[0][held][0] < per_token[1][held][0] < per_token[2][held][0]
+        assert per_token[2][held][0] > per_token[2][held][1] + 0.08
+    # What training adds, beside what the unseen word's part does.
+    assert per_token[2][True][0] > per_token[0][True][0] + 0.08
+
+
 def test_scores_without_training_text(spark):
     assert log_bilinear.scored(spark.createDataFrame([], SCHEMA)).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
@@ -65,24 +91,24 @@ def test_scores_without_training_text(spark):
 
 def test_classes_are_normalised_and_learn():
     rnd = np.random.default_rng(2)
-    k = log_bilinear.CLASSES
+    k = 512
     one, two = rnd.integers(2, 40, 20000), rnd.integers(2, 40, 20000)
     w = np.where(rnd.random(20000) < 0.8, (one + 1) % 40, rnd.integers(2, 40, 20000))
     w[w < 2] = 2
-    code, n = np.unique((two * k + one) * k + w, return_counts=True)
+    codes = (two * k + one) * k + w
     share = np.full(k, 0.5)
-    np.add.at(share, code % k, n)
+    np.add.at(share, w, 1)
     share /= share.sum()
     model = log_bilinear.Model(share)
-    p = rnd.permutation(len(code))
-    before = (model.log_probability(code, model.normalisers()) * n).sum() / n.sum()
-    for _ in range(10):
-        model.train(((code[p[i : i + 512]], n[p[i : i + 512]]) for i in range(0, len(p), 512)), 0.1)
+    before = model.log_probability(codes, model.normalisers()).mean()
+    for _ in range(5):
+        model.train(codes, rnd, 0.1)
     z = model.normalisers()
-    after = (model.log_probability(code, z) * n).sum() / n.sum()
-    assert after > before + 0.5
+    after = model.log_probability(codes, z).mean()
+    assert after > before + 0.5 and after == pytest.approx(model.log_probability(codes).mean(), abs=1e-4)
     every = (5 * k + 7) * k + np.array([i for i in range(k) if i != log_bilinear.START])
     assert abs(np.exp(model.log_probability(every, z).astype(np.float64)).sum() - 1) < 1e-3
+    assert (model.with_parameters(model.flat()).flat() == model.flat()).all()
 
 
 def test_kneser_ney_is_normalised(spark):
