@@ -1,16 +1,25 @@
 """Main text of web pages: the best-scoring run of words and tags.
 
-A page is a sequence of words and tags.  Each word has a score by the element it stands in and each tag one by its
-name: the log odds of standing inside the article, learned from those pages that mark theirs.  Words of
-plain content score above zero and tags below.  One linear scan finds the run with the largest sum.
-Of that run the text is returned, without elements that are no article text wherever they stand.
+A page is a sequence of blocks of words and of tags.  Each word of a block has a score and each tag one by its name:
+log odds of standing inside the article, learned from those pages that mark theirs.  A block's words are judged by the
+element they stand in, by how many they are, by the share of links among them, and by the class and id names
+of all elements round them.  Words of plain content score above zero and tags below.  One linear scan finds the run
+with the largest sum, and the run is the main text; what nothing marks, such as an unnamed line of links before
+the article, is left out by the scan alone.
+
+Some elements are no article text wherever they stand: scripts, styles, menus, footers, asides, forms, hidden ones, and those whose
+class or id is a customary name of such a part (``sidebar``, ``comment-list``; every part of the name has to be one, so
+``has-sidebar`` or ``menu-open`` are mere evidence).  They are skipped inside the run, and cost it a little for each word.  An element that
+holds the page's article, or most of its words where none is marked, is a wrapper, and its name says nothing.
 
 Labels: pages with an ``article`` or ``main`` element say themselves where the article is.  The weights are fitted
-on the ``fit_pages`` such pages with the smallest hash, all others use the same weights.
+on the ``fit_pages`` such pages with the smallest hash, all others use the same weights; features that those pages
+show too seldom have fixed weights.
 
 Cases: null html is empty and has no text; pages without any word have none; unclosed, stray and nested tags
-are accepted as browsers do for blocks; very long pages take one linear pass; repeated rows and clashing
-columns do no harm, since only the named columns are read.
+are accepted as browsers do for blocks; very long pages take one linear pass, however deep their tags are and
+however many of them are stray; ties go to the run that starts first and ends first; repeated rows have the same
+text; an empty table gives an empty table; only the named columns are read, so others may clash.
 """
 
 from __future__ import annotations
@@ -29,164 +38,258 @@ from pyspark.sql import types as T
 from gneiss.llm.work import tidied
 
 FIT_PAGES = 2000
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label|itemprop|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I | re.S)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>")
+#: Tags with unbalanced quotes that are tried to the page's end; after as many, a tag ends at the next ``>``.
+_PATIENCE = 8
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_TELLING = re.compile(r"class|id|hidden|role|style|itemprop", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "noframes", "xmp", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Elements that hold no article text wherever they stand.
-_OUTSIDE = {"nav", "aside", "footer", "form", "button", "select", "option", "input", "menu", "dialog", "svg", "canvas", "object", "embed", "audio", "video", "map", "head", "fieldset", "datalist", "math"} | _RAW
-_NAMES = set("ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail header masthead topbar footer bottom copyright legal cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing social related recommended recommendations widget toolbar pagination pager search skip tags".split())
+_ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+#: Elements that hold no article text wherever they stand; of those in ``_MAY_WRAP`` only such as are no wrapper.
+_OUTSIDE = {"nav", "aside", "footer", "button", "select", "option", "input", "menu", "dialog", "svg", "canvas", "object", "embed", "audio", "video", "map", "head", "datalist", "math"} | _RAW
+_MAY_WRAP = {"form", "fieldset", "header"}
+#: Customary names of what is no article text, and words that go with them in a name.
+_NAMES = set("ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar header masthead topbar footer copyright cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies sharing social related recommended recommendations widget widgets toolbar pagination pager search".split())
+_WITH = set("area bar block body bottom box container content first global google holder inner item items last left links list main outer page panel posts primary right secondary section site slot thread top unit wrap wrapper zone".split())
 _ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar form alertdialog toolbar".split())
+#: Words of elements that are left out cost the run so much each, outside and inside of a marked article.
+_SKIPPED = (-0.1, 0.0)
+#: Weights of features that the fitted pages show too seldom.
+_PRIOR = {"in p": 2.0, "in h1": 1.0, "in h2": 1.0, "in h3": 1.0, "in blockquote": 1.5, "in pre": 1.0, "in li": 0.3, "in": 0.7, "links": -2.0, "words 1": -0.3, "words 2": 0.0, "words 3": 0.5}
+_HINT = -0.5
+#: Names of the elements round a block that the weights are learned from.
+_NEAR = 32
+#: Elements of prose, by which wrappers are told.
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "body"}
+_SEEN = 50
 
 
-def _outside(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _OUTSIDE or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in _ROLES):
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id") and any(w in _NAMES or any(part in _NAMES for part in re.split(r"[-_]+", w)) for w in value.split()):
-            return True
-    return False
+def _customary(name: str) -> bool:
+    parts = re.split(r"[-_]+", name)
+    return any(x in _NAMES for x in parts) and all(x in _NAMES or x in _WITH or x.isdigit() for x in parts)
 
 
-class Page:
-    """The tokens of a page in order.
+class Element:
+    """An open or closed element: its names, and what it holds."""
+
+    __slots__ = ("article", "hidden", "holds_article", "holds_title", "inside", "linked", "name", "names", "near", "parent", "prose", "role", "skip", "weight")
 
-    ``kind`` is "w" for words and the tag's name otherwise; ``place`` is the element that words stand in;
-    ``out`` tells whether a token stands in an element that is no article text.
-    """
+    def __init__(self, name: str, parent: Element | None, attributes: str):
+        self.name, self.parent, self.prose, self.skip, self.weight = name, parent, 0, False, 0.0
+        self.holds_article, self.holds_title = False, name == "h1"
+        self.linked = name == "a" or (name in _INLINE and parent is not None and parent.linked)
+        self.names, self.hidden, self.role, self.article = (), False, False, name in ("article", "main")
+        for key, value in _ATTRIBUTE.findall(attributes) if _TELLING.search(attributes) else ():
+            key, value = key.lower(), value.strip("\"'").lower()
+            if key in ("class", "id"):
+                self.names += tuple(value.split())
+            elif key == "hidden" or (key == "aria-hidden" and value == "true"):
+                self.hidden = True
+            elif key == "role":
+                self.role = value in _ROLES
+                self.article = self.article or value in ("main", "article")
+            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                self.hidden = True
+            elif key == "itemprop" and "articlebody" in value.split():
+                self.article = True
+        self.inside = parent is not None and (parent.inside or parent.article)
+        self.near = () if parent is None else parent.near + self.names if len(parent.near) + len(self.names) <= _NEAR else (parent.near + self.names)[-_NEAR:]
 
-    __slots__ = ("kind", "marked", "out", "place", "text")
+
+class Page:
+    """Tokens of a page in order: (tag's name, element) or (None, block), where a block is [element, text pieces, words]."""
 
     def __init__(self, source: str):
-        self.kind, self.text, self.place, self.out, self.marked = [], [], [], [], []
-        stack: list[tuple[str, bool, bool, str]] = [("", False, False, "body")]
-        at, n = 0, len(source)
+        self.tokens: list[tuple] = []
+        self.elements: list[Element] = []
+        self.block: list | None = None
+        self._parse(source)
+        self._judge()
+
+    def _parse(self, source: str) -> None:
+        root = Element("body", None, "")
+        self.elements.append(root)
+        # Elements that are open, and for each the place of the innermost that is not inline.
+        stack, blocks = [root], [0]
+        still = Counter()
+        at, n, patience = 0, len(source), _PATIENCE
         while at < n:
-            found = _TOKEN.search(source, at)
+            found = _OPEN.search(source, at)
             stop = found.start() if found else n
             if stop > at:
-                self._words(source[at:stop], stack[-1])
+                self._text(source[at:stop], stack, blocks)
             if not found:
                 break
-            at = found.end()
-            close, name, attributes = found[1], found[2], found[3]
-            if name is None:
-                close, name, attributes = found[4], found[5], ""
-            if name is None:
-                if found[0].startswith("<![CDATA["):
-                    continue
+            kind = found[0]
+            if kind in ("<!--", "<![CDATA["):
+                end = source.find("-->" if kind == "<!--" else "]]>", found.end())
+                at = n if end < 0 else end + 3
                 continue
-            name = name.lower()
-            top = stack[-1]
-            if close:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        self._tag(name, stack[i])
-                        del stack[i:]
-                        break
+            named = _NAME.match(source, stop)
+            whole = _REST.match(source, named.end() if named else found.end()) if patience else None
+            if whole is None:
+                patience -= bool(patience)
+                end = source.find(">", found.end())
+                at = n if end < 0 else end + 1
+            else:
+                at = whole.end()
+            if not named:
+                continue
+            name, attributes = named[2].lower(), source[named.end() : at].removesuffix(">")
+            if named[1]:
+                if still[name]:
+                    i = len(stack) - 1
+                    while stack[i].name != name:
+                        i -= 1
+                    self._tag(name, stack[i])
+                    self._close(stack, blocks, still, i)
                 else:
-                    self._tag(name, top)
+                    self._tag(name, stack[-1])
                 continue
-            out = top[1] or _outside(name, attributes, top[2])
-            inside = top[2] or name in ("article", "main") or ("itemprop" in attributes and "articlebody" in attributes.lower())
-            now = (name, out, inside, top[3] if name in _INLINE and name != "a" else name)
+            for _ in iter(lambda name=name: name in _ENDS and blocks[-1] and stack[blocks[-1]].name in _ENDS[name], False):
+                self._close(stack, blocks, still, blocks[-1])
+            element = Element(name, stack[-1], attributes)
+            self.elements.append(element)
+            self._tag(name, element)
             if name in _RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, at)
-                self._tag(name, (name, True, top[2], name))
                 at = end.end() if end else n
                 continue
-            self._tag(name, now)
             if name in _VOID or attributes.endswith("/") and name in ("svg", "path", "use"):
                 continue
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                self._imply(stack, name)
-                top = stack[-1]
-                now = (name, top[1] or _outside(name, attributes, top[2]), inside, name)
-            stack.append(now)
+            stack.append(element)
+            blocks.append(blocks[-1] if name in _INLINE else len(stack) - 1)
+            still[name] += 1
+            if element.article:
+                up = element.parent
+                while up is not None and not up.holds_article:
+                    up.holds_article = True
+                    up = up.parent
 
     @staticmethod
-    def _imply(stack: list, name: str) -> None:
-        """Ends an open element that the new one cannot stand in."""
-        ends = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}[name]
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in ends:
-                del stack[i:]
+    def _close(stack: list, blocks: list, still: Counter, i: int) -> None:
+        for x in stack[i:]:
+            still[x.name] -= 1
+        del stack[i:], blocks[i:]
+
+    def _text(self, text: str, stack: list, blocks: list) -> None:
+        top, home = stack[-1], stack[blocks[-1]]
+        if self.block is None:
+            self.block = [home, [], 0]
+            self.tokens.append((None, self.block))
+        text = html.unescape(text)
+        n = len(text.split())
+        self.block[1].append((text, n, top.linked, top))
+        self.block[2] += n
+        if home.name in _PROSE:
+            home.prose += n
+
+    def _tag(self, name: str, element: Element) -> None:
+        if name not in _INLINE:
+            self.block = None
+        self.tokens.append((name, element))
+
+    def _judge(self) -> None:
+        """Which elements are left out: those named or made so, but no wrapper."""
+        for x in reversed(self.elements):
+            if x.parent is not None:
+                x.parent.prose += x.prose
+                x.parent.holds_title |= x.holds_title
+        root = self.elements[0]
+        marked, titled = root.holds_article, root.holds_title
+        for x in self.elements:
+            if x.parent is None:
                 continue
-            if stack[i][0] not in _INLINE:
-                return
-
-    def _words(self, text: str, top: tuple[str, bool, bool, str]) -> None:
-        self.kind.append("w")
-        self.text.append(html.unescape(text))
-        self.place.append(top[3])
-        self.out.append(top[1])
-        self.marked.append(top[2])
-
-    def _tag(self, name: str, element: tuple[str, bool, bool, str]) -> None:
-        self.kind.append(name)
-        self.text.append("")
-        self.place.append("")
-        self.out.append(element[1])
-        self.marked.append(element[2])
+            wrapper = x.holds_article or x.article or x.name in ("html", "body") or (not marked and x.holds_title >= titled and x.prose * 2 > root.prose)
+            out = x.name in _OUTSIDE or x.hidden or (not wrapper and (x.role or any(map(_customary, x.names)) or (x.name in _MAY_WRAP and not (x.name == "header" and x.inside))))
+            x.skip = x.parent.skip or out
+            if wrapper and not x.skip:
+                x.names = ()
+
+    def features(self, block: list) -> list[str]:
+        home, pieces, n = block
+        linked = sum(p[1] for p in pieces if p[2])
+        found = [f"in {home.name}", f"words {1 if n < 5 else 2 if n < 20 else 3}"]
+        if 2 * linked > n:
+            found.append("links")
+        return found + [f"name {x}" for x in set(home.near)]
 
     def main(self, weights: dict[str, float]) -> str:
         """Text of the best run."""
+        self._weigh(weights)
         best, begin, end, total, start = 0.0, 0, 0, 0.0, 0
-        for i, kind in enumerate(self.kind):
-            if kind == "w":
-                n = len(self.text[i].split())
-                score = n * (min(weights.get("out", -2.0), -0.5) if self.out[i] else max(weights.get("in " + self.place[i], 1.0), weights["floor"]))
+        for i, (name, x) in enumerate(self.tokens):
+            if name is not None:
+                score = 0.0 if x.skip and x.inside else weights.get("tag " + name, weights["tag"])
             else:
-                score = weights.get("tag " + kind, weights["tag"])
+                score = self._score(x, weights)
             if total <= 0:
                 total, start = 0.0, i
             total += score
             if total > best:
                 best, begin, end = total, start, i + 1
         parts = []
-        for i in range(begin, end):
-            if self.kind[i] != "w":
-                if self.kind[i] not in _INLINE:
-                    parts.append(" ")
-            elif not self.out[i]:
-                parts.append(self.text[i])
+        for name, x in self.tokens[begin:end]:
+            if name is None:
+                parts.extend(text for text, _, _, element in x[1] if not element.skip)
+            elif name not in _INLINE:
+                parts.append(" ")
         return " ".join("".join(parts).split())
 
+    def _weigh(self, weights: dict[str, float]) -> None:
+        """What the names of an element and of those round it say, each element's share clipped."""
+        for x in self.elements:
+            own = sum(weights.get("name " + n, _HINT if any(p in _NAMES for p in re.split(r"[-_]+", n)) else 0.0) for n in set(x.names))
+            x.weight = max(-3.0, min(3.0, (x.parent.weight if x.parent is not None else 0.0) + max(-2.0, min(2.0, own))))
+
+    def _score(self, block: list, weights: dict[str, float]) -> float:
+        home, pieces, n = block
+        if home.skip:
+            return n * _SKIPPED[home.inside]
+        kept = sum(k for _, k, _, element in pieces if not element.skip)
+        linked = sum(k for _, k, a, element in pieces if a and not element.skip)
+        each = weights.get(f"in {home.name}", _PRIOR.get(f"in {home.name}", _PRIOR["in"])) + weights.get(f"words {1 if kept < 5 else 2 if kept < 20 else 3}", 0.0) + home.weight
+        if 2 * linked > kept:
+            each += weights.get("links", _PRIOR["links"])
+        if home.inside or home.article:
+            each = max(each, 0.0) + 1.0
+        return kept * max(-3.0, min(3.0, each))
+
 
 def count(source: str, into: Counter) -> None:
     """Adds the words and tags inside and outside of a page's marked article."""
     page = Page(source)
-    if not any(m and not o and k == "w" for m, o, k in zip(page.marked, page.out, page.kind, strict=True)):
+    if not any(name is None and x[0].inside | x[0].article and not x[0].skip and x[2] for name, x in page.tokens):
         return
-    for kind, text, place, out, marked in zip(page.kind, page.text, page.place, page.out, page.marked, strict=True):
-        side = "1" if marked and not out else "0"
-        if kind != "w":
-            into[f"{side}tag {kind}"] += 1
-        elif n := len(text.split()):
-            into[f"{side}{'out' if out else 'in ' + place}"] += n
+    for name, x in page.tokens:
+        home = x[0] if name is None else x
+        side = "1" if (home.inside or home.article) and not home.skip else "0"
+        if name is not None:
+            into[f"{side}tag {name}"] += 1
+        elif x[2]:
+            into[side] += x[2]
+            for f in page.features(x):
+                into[side + f] += x[2]
 
 
 def fitted(counts: dict[str, int]) -> dict[str, float]:
-    """Log odds, scaled so that content words have at least 0.2 and tags at most -0.01, at least -0.1 for those of articles."""
-    names = {k[1:] for k in counts}
-    inside, outside = (sum(n for k, n in counts.items() if k[0] == side) + 1 for side in "10")
-    odds = {k: math.log((counts.get("1" + k, 0) + 0.5) / inside) - math.log((counts.get("0" + k, 0) + 0.5) / outside) for k in names}
-    out = {"tag": -0.1, "floor": 0.2, "out": -2.0}
-    for k, v in odds.items():
+    """Log odds, at most 4 up or down; tags cost between 0.01 and 1 each, 0.1 where nothing is known."""
+    out = {k: v for k, v in _PRIOR.items() if not k.startswith("in")} | {"tag": -0.1}
+    inside, outside = counts.get("1", 0) + 1, counts.get("0", 0) + 1
+    tags = [sum(n for k, n in counts.items() if k.startswith(side + "tag ")) + 1 for side in "10"]
+    for k in {k[1:] for k in counts if len(k) > 1}:
+        a, b = counts.get("1" + k, 0), counts.get("0" + k, 0)
         if k.startswith("tag "):
-            out[k] = min(-0.01, -0.1 + min(0.09, 0.02 * v)) if v > 0 else max(-3.0, -0.1 + v)
-        elif k == "out":
-            out[k] = max(-3.0, min(v, -0.5))
-        else:
-            out[k] = min(3.0, v) if v > 0 else max(-1.0, v)
+            odds = math.log((a + 0.5) / tags[0]) - math.log((b + 0.5) / tags[1])
+            out[k] = max(-1.0, min(-0.01, -0.1 + 0.05 * odds))
+        elif a + b >= _SEEN:
+            odds = math.log((a + 0.5) / inside) - math.log((b + 0.5) / outside)
+            # How long a block is goes with what it stands in, so few words are little evidence beside that.
+            out[k] = max(-0.6 if k.startswith("words") else -4.0, min(4.0, odds))
     return out
 
 

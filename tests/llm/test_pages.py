@@ -1,3 +1,8 @@
+import html
+import re
+import time
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +70,75 @@ def test_extraction(spark):
     assert html_text.extracted(df.limit(0)).count() == 0
 
 
+WRAPPED = [
+    (f'<body><div class="site has-sidebar">{BODY}</div>', WANT),
+    (f'<body><div class="side-by-side">{BODY}</div>', WANT),
+    (f'<body><article><div class="comments-open">{BODY}</div></article>', WANT),
+    (f'<body class="menu-open"><div class="menu-open">{BODY}</div>', WANT),
+    (f'<body><article>{BODY}<section id="recommended-settings"><p>six seven</p></section></article>', WANT + " six seven"),
+    (f'<body><article><header class="entry-header"><h1>Head line</h1></header>{BODY}</article>', "Head line " + WANT),
+    (f'<article>{BODY}<p class="legal-text">six seven</p></article>', WANT + " six seven"),
+    (f'<body><form id="whole">{NAV}<div>{BODY}</div></form>', WANT),
+    (f'<body><div class="page has-sidebar"><div class=sidebar><p>not this one</p></div><div id="content" class="no-comments">{BODY}</div></div>', WANT),
+    (f'<div class="comments"><article>{BODY}</article></div>', WANT),
+    ('<p><a href="/hidden-gems" data-hidden="false">Gems</a> are here</p>', "Gems are here"),
+]
+
+
+def pages_weights():
+    import duckdb
+
+    pages = [h for (h,) in duckdb.sql("SELECT html FROM read_parquet('/root/testdata/sf0.01/pages.parquet') ORDER BY page_id").fetchall()]
+    counts = Counter()
+    for h in pages[:100]:
+        html_text.count(h, counts)
+    return html_text.fitted(counts), pages[100:]
+
+
+def test_wrappers_keep_their_text():
+    for weights in (html_text.fitted({}), pages_weights()[0]):
+        assert [html_text.Page(h).main(weights) for h, _ in WRAPPED] == [w for _, w in WRAPPED]
+
+
+def test_articles_without_their_names():
+    """Pages that the weights have not seen, with all telling tags and names replaced: the scan alone finds the article."""
+    weights, pages = pages_weights()
+    names = {"<article>": '<div class="k1">', "</article>": "</div>", 'class="ad"': 'class="z9"', "<footer>": "<div>", "</footer>": "</div>", "<nav>": '<div id="n7">', "</nav>": "</div>"}
+    for h in pages:
+        inner = re.sub(r"</?b>", "", re.search(r"<article>(.*?)</article>", h, re.S)[1])
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+        assert html_text.Page(h).main(weights) == want
+        for a, b in names.items():
+            h = h.replace(a, b)
+        assert html_text.Page(h).main(weights) == want
+
+
+def test_best_run_against_brute_force():
+    rnd = np.random.default_rng(3)
+    for _ in range(60):
+        parts = [(f"<{t}>" + f"w{i} " * rnd.integers(0, 4) + f"</{t}>") for i, t in enumerate(rnd.choice(["p", "div", "td", "span"], 7))]
+        page = html_text.Page("".join(parts))
+        weights = html_text.fitted({}) | {"in div": -0.7, "in td": float(rnd.uniform(-1, 1)), "in p": 0.8, "tag p": -1.0, "tag div": float(-rnd.random())}
+        got = page.main(weights)
+        scores = [weights.get("tag " + name, weights["tag"]) if name is not None else page._score(x, weights) for name, x in page.tokens]
+        runs = [(sum(scores[i:j]), -i, -j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        top = max(runs, default=(0,))
+        if top[0] <= 1e-9:
+            assert got == ""
+            continue
+        begin, end = next((-i, -j) for t, i, j in sorted(runs, reverse=True) if t > top[0] - 1e-9)
+        words = [w for name, x in page.tokens[begin:end] if name is None for t, *_ in x[1] for w in t.split()]
+        assert got.split() == words
+
+
+@pytest.mark.parametrize("source", ["<b>" * 10_000 + "</i>" * 10_000 + "x", "<p><div>" + "<b>" * 20_000 + "<p>x" * 20_000, '<a ">x' * 40_000, "<a " * 40_000, '<div class="ad x">' * 40_000 + "x"])
+def test_stray_tags_take_linear_time(source):
+    weights = html_text.fitted({})
+    began = time.process_time()
+    html_text.Page(source).main(weights)
+    assert time.process_time() - began < 10
+
+
 def test_long_page_and_best_run():
     weights = html_text.fitted({})
     long = "<article>" + "<p>word word word</p>" * 50_000 + "</article>"
