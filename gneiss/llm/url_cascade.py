@@ -1,44 +1,53 @@
 """Verdicts on urls by rules of hosts and path prefixes, with Bloom filter cascades in place of joins.
 
 A url's keys are its host and all parent domains, each followed by the path's prefixes of those lengths that
-rules have.  The distinct keys of the corpus are the universe.  For each verdict a cascade is built: level 0
+rules have.  The keys of the whole corpus are the universe.  For each verdict a cascade is built: level 0
 holds the verdict's rules, level 1 those other keys of the universe that level 0 takes for rules, level 2 the
 rules that level 1 takes for others, and so on until a level has no false positives.  Over the universe
-membership is then exact, so each url needs only a look at the levels.
+membership is then exact, so each url needs only a look at the levels, and nothing is joined.
 
-The longest rule wins, at equal length the one with the longer host.  Without a rule the verdict is that of
-an empty list, ``allow``.  A null url, or one without ``://``, has an empty host and path; repeated
-rows are judged alike; other columns are not read.  Filters beyond ``max_bytes`` in all are not broadcast: then the
-rules are joined to the keys instead, with the same result.
+Level 0 has as many bits a rule as it takes for half as many false positives as there are rules, by the number of keys in the
+universe: 1.44 bits for each doubling of keys a rule.  So the false positives, and with them all levels above, are bound by
+the list of rules and not by the corpus: about 45 bits a rule at ten billion keys for five rules, less than
+the list itself, which the caller holds.  One pass over the keys finds those that level 0 takes; the other levels need only these.
+
+Cases: the longest rule wins, at equal length (a tie) the one with the longer host.  Without a rule the verdict is that of
+an empty list, ``allow``.  A null url, an empty one or one without ``://``, has an empty host and path; very long urls have
+no more keys than labels times lengths of rules; repeated rows are judged alike; an empty table gives an empty table; where an
+input column has the name of an output column, it gives way.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.rolling import mix
-from gneiss.llm.work import written
+from gneiss.llm.work import packed, unpacked
 
 Rule = tuple[str, str, str]
-BITS_PER_KEY, HASHES = 10, 5
+#: Bits a key of the levels above the first.
+BITS_PER_KEY = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Filter:
     """A Bloom filter over pairs of 64-bit hashes; ``level`` makes its hashing its own."""
 
-    def __init__(self, n: int, level: int):
-        self.bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
+    def __init__(self, n: int, level: int, bits_per_key: float = BITS_PER_KEY):
+        self.bits = max(64, math.ceil(n * bits_per_key / 64) * 64)
+        self.hashes = max(1, round(bits_per_key * math.log(2)))
         self.level = np.uint64(level + 1)
         self.words = np.zeros(self.bits // 64, dtype=np.uint64)
 
     def _places(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             a, b = mix(one + self.level * np.uint64(0x9E3779B97F4A7C15)), mix(two ^ self.level) | np.uint64(1)
-            return (a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)) % np.uint64(self.bits)
+            return (a[:, None] + b[:, None] * np.arange(self.hashes, dtype=np.uint64)) % np.uint64(self.bits)
 
     def add(self, one: np.ndarray, two: np.ndarray) -> Filter:
         place = self._places(one, two).ravel()
@@ -66,34 +75,31 @@ def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key).alias("one"), F.xxhash64(key, F.lit(1)).alias("two")
 
 
-def _pairs(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = df.toArrow()
-    return tuple(table.column(c).to_numpy().view(np.uint64) for c in ("one", "two"))
-
+def cascade(listed: DataFrame, universe: DataFrame, n_universe: int) -> list[Filter]:
+    """Levels that tell ``listed`` from the rest of ``universe`` (hash pairs, of which there are ``n_universe`` at most)."""
+    yes = _pairs(listed)
+    n = len(yes)
+    if not n:
+        return []
+    first = Filter(n, 0, max(BITS_PER_KEY, math.log2(max(2 * n_universe / n, 2)) / math.log(2))).add(*yes.T)
+    given = universe.sparkSession.sparkContext.broadcast(first)
 
-def _taken(level):
     @F.pandas_udf("boolean")
     def taken(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series(level.value.has(one.to_numpy().view(np.uint64), two.to_numpy().view(np.uint64)))
+        return pd.Series(given.value.has(one.to_numpy().view(np.uint64), two.to_numpy().view(np.uint64)))
 
-    return taken
+    found = _pairs(universe.where(taken("one", "two")).distinct())
+    no = np.array(sorted(set(map(tuple, found.tolist())) - set(map(tuple, yes.tolist()))), dtype=np.uint64).reshape(-1, 2)
+    levels = [first]
+    while len(no):
+        levels.append(Filter(len(no), len(levels)).add(*no.T))
+        yes, no = no, yes[levels[-1].has(*yes.T)]
+    return levels
 
 
-def cascade(spark: SparkSession, listed: DataFrame, universe: DataFrame, max_bytes: int) -> list[Filter] | None:
-    """Levels that tell ``listed`` from the rest of ``universe`` (hash pairs); None where they exceed ``max_bytes``."""
-    others = universe.join(listed, ["one", "two"], "left_anti")
-    sides, levels, size = [listed, others], [], 0
-    while True:
-        now = sides[len(levels) % 2]
-        n = now.count()
-        if not n and levels:
-            return levels
-        size += n * 16
-        if size > max_bytes:
-            return None
-        levels.append(Filter(n, len(levels)).add(*_pairs(now)))
-        side = len(levels) % 2
-        sides[side] = written(sides[side].where(_taken(spark.sparkContext.broadcast(levels[-1]))("one", "two")), "cascade")
+def _pairs(df: DataFrame) -> np.ndarray:
+    table = df.toArrow()
+    return np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("one", "two")], axis=1)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -114,7 +120,7 @@ def url_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.transform(F.array_sort(F.array_distinct(keys)), lambda k: k["key"])
 
 
-def judged(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", max_bytes: int = 64 << 20) -> DataFrame:
+def judged(pages: DataFrame, rules: list[Rule], *, url_col: str = "url") -> DataFrame:
     """The rows of ``pages`` with ``host``, ``path``, ``rule`` (null without one) and ``verdict``.
 
     ``rules`` are (verdict, host, path) with the verdicts allow and block.
@@ -122,21 +128,15 @@ def judged(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", max_byt
     spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
     lengths = sorted({len(p) for _, _, p in rules}) or [0]
-    named = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    keyed = named.withColumn("_keys", url_keys(F.col("host"), F.col("path"), lengths))
-    universe = written(keyed.select(F.explode("_keys").alias("key")).distinct().select(*_hashes(F.col("key"))), "universe")
+    parts = pages.select(packed(pages).alias("row"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    keyed = parts.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths))
+    n_universe = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    universe = keyed.select(F.explode("keys").alias("key")).select(*_hashes(F.col("key")))
 
     verdicts = {"allow": 1, "block": 2}
     listed = {v: spark.createDataFrame([(h + p,) for w, h, p in rules if w == v], "key string").distinct() for v in verdicts}
-    levels = {v: cascade(spark, listed[v].select(*_hashes(F.col("key"))), universe, max_bytes) for v in verdicts}
-    if any(x is None for x in levels.values()):
-        every = listed["allow"].withColumn("_verdict", F.lit("allow")).unionByName(listed["block"].withColumn("_verdict", F.lit("block")))
-        row = F.monotonically_increasing_id()
-        rows = written(keyed.withColumn("_row", row), "pages")
-        found = rows.select("_row", F.posexplode("_keys").alias("_at", "key")).join(every, "key").groupBy("_row").agg(F.min(F.struct("_at", "key", "_verdict")).alias("_hit"))
-        return rows.join(found, "_row", "left").select(*[rows[c] for c in named.columns], F.col("_hit.key").alias("rule"), F.coalesce("_hit._verdict", F.lit("allow")).alias("verdict"))
-
-    shared = spark.sparkContext.broadcast([(verdicts[v], x) for v, x in levels.items()])
+    levels = [(code, cascade(listed[v].select(*_hashes(F.col("key"))), universe, n_universe)) for v, code in verdicts.items()]
+    shared = spark.sparkContext.broadcast(levels)
 
     @F.pandas_udf("struct<at:int,verdict:int>")
     def look(one: pd.Series, two: pd.Series) -> pd.DataFrame:
@@ -154,6 +154,12 @@ def judged(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", max_byt
         out.loc[rows, "verdict"] = kind[hit[first]]
         return out
 
-    pair = [F.transform("_keys", lambda k: F.xxhash64(k)), F.transform("_keys", lambda k: F.xxhash64(k, F.lit(1)))]
-    rule = F.when(F.col("_hit.at") > 0, F.element_at("_keys", F.col("_hit.at")))
-    return keyed.withColumn("_hit", look(*pair)).select(*[F.col(f"`{c}`") for c in named.columns], rule.alias("rule"), F.when(F.col("_hit.verdict") == 2, "block").otherwise("allow").alias("verdict"))
+    pair = [F.transform("keys", lambda k: F.xxhash64(k)), F.transform("keys", lambda k: F.xxhash64(k, F.lit(1)))]
+    hit = keyed.withColumn("hit", look(*pair))
+    more = {
+        "host": F.col("host"),
+        "path": F.col("path"),
+        "rule": F.when(F.col("hit.at") > 0, F.element_at("keys", F.col("hit.at"))),
+        "verdict": F.when(F.col("hit.verdict") == 2, "block").otherwise("allow"),
+    }
+    return hit.select(*unpacked("row", pages.columns, tuple(more)), *[c.alias(m) for m, c in more.items()])

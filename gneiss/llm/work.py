@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch while a table is written: texts are long, and a batch is in memory whole.
@@ -52,6 +53,20 @@ def drop_written(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame) -> Column:
+    """A whole row as one struct: beside it, columns can have any names."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unpacked(row: str, names: list[str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of a packed row by their names."""
+    return [F.col(row).getField(c).alias(c) for c in names if c not in without]
+
+
 def give_back() -> None:
     """Returns free memory to the system: a Python worker outlives its task, idle beside the next stage."""
     gc.collect()
