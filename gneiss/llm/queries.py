@@ -75,12 +75,15 @@ def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gneiss.llm.mixing import mixed, tokens, topic
+    from gneiss.llm.mixing import mixed, tokens, topic, topics
+    from gneiss.llm.work import written
 
     docs = _table(spark, sf_dir, "documents")
-    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}
-    out = mixed(docs, margins, tokens(F.col("text")))
-    return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+    text = F.col("text")
+    # What the mixture needs of the texts, read once.
+    facts = written(docs.select("doc_id", "source", "lang", topic(text, topics(docs, text)).alias("topic"), tokens(text).alias("n_tokens")), "facts")
+    out = mixed(facts, {m: F.col(m) for m in ("source", "lang", "topic")}, F.col("n_tokens"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
 def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,14 +155,15 @@ SELECT page_id, host, path, d.rule AS rule, coalesce(d.verdict, 'allow') AS verd
 """
 
 
-def _mixing_sql(rounds: int = 12, temper: float = 0.8) -> str:
+def _mixing_sql(rounds: int = 20, temper: float = 0.8, keep: float = 0.8, topics: int = 32) -> str:
     """The rounds of fitting, written out."""
     parts = [
-        """d AS (
-    SELECT doc_id, source, lang, CASE WHEN strpos(text, ' | ') > 0 THEN 'table' WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
-        CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens
-    FROM documents
-)""",
+        "x AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, source, lang, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents)",
+        "df AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(words)) AS w FROM x) GROUP BY w)",
+        f"names AS MATERIALIZED (SELECT w FROM df WHERE n <= (SELECT count(*) FROM documents) * 0.1 AND regexp_matches(w, '^\\p{{L}}{{4,}}$') ORDER BY n DESC, w LIMIT {topics})",
+        "hits AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(words) AS w FROM x) WHERE w IN (SELECT w FROM names) GROUP BY id, w)",
+        "best AS (SELECT id, first(w ORDER BY n DESC, w) AS w FROM hits GROUP BY id)",
+        "d AS MATERIALIZED (SELECT doc_id, source, lang, coalesce(best.w, 'none') AS topic, CAST(len(words) AS BIGINT) AS n_tokens FROM x LEFT JOIN best ON x.id = best.id)",
         "c0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n, CAST(sum(n_tokens) AS DOUBLE) AS w FROM d GROUP BY source, lang, topic)",
     ]
     margins = ("source", "lang", "topic")
@@ -170,11 +174,13 @@ def _mixing_sql(rounds: int = 12, temper: float = 0.8) -> str:
         for m in margins:
             parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.n, CASE WHEN s.s > 0 THEN c.w * coalesce(t.t, 0) / s.s ELSE 0 END AS w FROM c{k} c JOIN (SELECT {m} AS v, sum(w) AS s FROM c{k} GROUP BY {m}) s ON c.{m} IS NOT DISTINCT FROM s.v LEFT JOIN t_{m} t ON c.{m} IS NOT DISTINCT FROM t.v)")
             k += 1
-    parts.append(f"f AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN w / n ELSE 0 END AS f FROM c{k})")
-    parts.append("p AS (SELECT source, lang, topic, f / coalesce(nullif((SELECT max(f) FROM f), 0), 1) AS p FROM f)")
+    parts.append(f"f AS (SELECT source, lang, topic, n, w, CASE WHEN n > 0 THEN w / n ELSE 0 END AS f FROM c{k})")
+    parts.append("o AS (SELECT f, coalesce(sum(n) OVER (ORDER BY f DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_n, sum(w) OVER (ORDER BY f DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM f WHERE f > 0)")
+    parts.append(f"l AS (SELECT (g - full_n) / rest AS number FROM o, (SELECT {keep} * sum(n) AS g FROM f) WHERE (g - full_n) / rest * f <= 1 ORDER BY f DESC LIMIT 1)")
+    parts.append("p AS (SELECT source, lang, topic, CASE WHEN f > 0 THEN least(1, f * coalesce((SELECT number FROM l), 'inf'::DOUBLE)) ELSE 0 END AS p FROM f)")
     return (
         "WITH " + ",\n".join(parts) + "\nSELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(p.p, 6) AS probability,"
-        " CAST(CAST('0x' || substr(md5(concat_ws(':', 'mix', CAST(d.doc_id AS VARCHAR))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < p.p AS sampled"
+        " CAST(CAST('0x' || substr(md5(concat_ws(':', 'mix', coalesce(CAST(d.doc_id AS VARCHAR), ''))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < p.p AS sampled"
         " FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic IS NOT DISTINCT FROM p.topic"
     )
 

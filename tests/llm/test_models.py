@@ -167,27 +167,35 @@ def test_classifier_of_chinese(spark):
     assert np.mean([r.kept for r in got if r.doc_id % 9]) > 0.95
 
 
-def test_mixing(spark, monkeypatch):
+def test_mixing(spark):
     df = spark.createDataFrame(docs_rows(6, 3000), SCHEMA)
-    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
+    names = mixing.topics(df, F.col("text"), 3)
+    assert len(names) == 3
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"), names)}
     out = mixing.mixed(df, margins, mixing.tokens(F.col("text")))
     rows = out.collect()
     assert out.columns == [*df.columns, "mix_source", "mix_lang", "mix_topic", "n_tokens", "probability", "sampled"] and len(rows) == 3004
     for r in rows:
-        assert r.n_tokens == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
-    for m in ("mix_source", "mix_lang", "mix_topic"):
-        have, want = Counter(), Counter()
-        for r in rows:
-            have[r[m]] += r.n_tokens
-            want[r[m]] += r.n_tokens * r.probability
-        target = {v: n**0.8 for v, n in have.items() if n}
-        for v, t in target.items():
-            assert abs(want[v] / sum(want.values()) - t / sum(target.values())) < 1e-6
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        have = Counter(w for w in words if w in names)
+        assert r.n_tokens == len(words) and r.mix_topic == min(have, key=lambda w: (-have[w], w), default="none")
+    total = sum(r.n_tokens for r in rows)
+    assert sum(r.n_tokens * r.probability for r in rows) == pytest.approx(0.8 * total, rel=1e-6)
     kept = sum(r.sampled for r in rows)
     assert abs(kept - sum(r.probability for r in rows)) < 5 * math.sqrt(len(rows) / 4)
-    other = {(r.doc_id, r.text): r.probability for r in mixing.mixed(df, margins, mixing.tokens(F.col("text")), max_cells=2, rounds=3).collect()}
-    same = {(r.doc_id, r.text): r.probability for r in mixing.mixed(df, margins, mixing.tokens(F.col("text")), rounds=3).collect()}
-    assert all(abs(other[k] - same[k]) < 1e-9 for k in same)
+    # Cells that are wanted more than they have stay whole; with fewer tokens wanted in all, every margin is met.
+    fair = mixing.mixed(df, margins, mixing.tokens(F.col("text")), keep=0.05)
+    for r in mixing.margins_reached(fair, ["source", "lang", "topic"]).collect():
+        have = Counter()
+        for x in rows:
+            have[x[f"mix_{r.margin}"]] += x.n_tokens
+        powers = {v: n**0.8 for v, n in have.items() if n}
+        assert r.share == pytest.approx(have[r.value] / total) and r.expected == pytest.approx(powers.get(r.value, 0) / sum(powers.values()), abs=1e-6)
+    for keep in (0.3, 0.8, 1.0):
+        other = {(r.doc_id, r.text): r.probability for r in mixing.mixed(df, margins, mixing.tokens(F.col("text")), max_cells=2, rounds=3, keep=keep).collect()}
+        same = {(r.doc_id, r.text): r.probability for r in mixing.mixed(df, margins, mixing.tokens(F.col("text")), rounds=3, keep=keep).collect()}
+        assert all(abs(other[k] - same[k]) < 1e-9 for k in same)
     assert mixing.mixed(df.limit(0), margins, mixing.tokens(F.col("text"))).count() == 0
     given = mixing.mixed(df, {"source": F.col("source")}, mixing.tokens(F.col("text")), targets=[{"src0": 0.5, "src1": 0.5, "none": 1.0}]).collect()
     assert {r.source for r in given if r.sampled} <= {"src0", "src1"}
+    assert mixing.topics(df.limit(0), F.col("text")) == []
