@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from gneiss.llm.components import connected
 from gneiss.llm.rolling import mix
-from gneiss.llm.work import take, text_pieces, tidied, written
+from gneiss.llm.work import packed, take, text_pieces, tidied, unpacked, written
 from gneiss.llm.words import fingerprints, shingles
 
 PIECE = 1 << 20
@@ -362,11 +362,11 @@ def _bitmap_batches(num: int, den: int):
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` without those that another row of their group stands for."""
     groups = jaccard_groups(docs, id_col=id_col, text_col=text_col, k=k, num=num, den=den)
-    key = F.xxhash64(F.col(text_col))
-    stay = groups.where(F.col(id_col).eqNullSafe(F.col("keeper.id")) & (F.col("text_key") == F.col("keeper.text_key"))).select(F.col(id_col).alias("_stay_id"), F.col("text_key").alias("_stay_key"), "n_shingles")
-    stay = written(stay.groupBy("_stay_id", "_stay_key").agg(F.count(F.lit(1)).alias("_stay_copies"), F.max("n_shingles").alias("_stay_n")), "stay")
-    out = docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay_id")) & (key == F.col("_stay_key")))
-    if stay.where("_stay_copies > 1 and _stay_n > 0").limit(1).count():
-        twice = out.where("_stay_copies > 1 and _stay_n > 0").dropDuplicates([id_col, "_stay_key"])
-        out = out.where("_stay_copies = 1 or _stay_n = 0").unionByName(twice)
-    return out.select(*[docs[c] for c in docs.columns])
+    stay = groups.where(F.col(id_col).eqNullSafe(F.col("keeper.id")) & (F.col("text_key") == F.col("keeper.text_key"))).select(F.col(id_col).alias("stay_id"), F.col("text_key").alias("stay_key"), "n_shingles")
+    stay = written(stay.groupBy("stay_id", "stay_key").agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n")), "stay")
+    rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_key"))
+    out = rows.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_key") == F.col("stay_key")))
+    if stay.where("copies > 1 and n > 0").limit(1).count():
+        twice = out.where("copies > 1 and n > 0").dropDuplicates(["stay_id", "stay_key"])
+        out = out.where("copies = 1 or n = 0").unionByName(twice)
+    return out.select(*unpacked("row", docs.columns))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.llm.rolling import every, mix, prefix, sliding_argmin, span
-from gneiss.llm.work import drop_written, take, text_pieces, tidied, written
+from gneiss.llm.work import drop_written, packed, take, text_pieces, tidied, written
 
 #: Bytes of text handled at once in a Python worker; longer texts are cut with an overlap of one window.
 PIECE = 1 << 20
@@ -312,9 +312,11 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pd.Series(out)
 
     runs = repeated_runs(docs, id_col=id_col, text_col=text_col, window=window, hot=hot)
-    runs = written(runs.groupBy(F.col("id").alias("_cut_id"), F.col("text_key").alias("_cut_key")).agg(F.collect_set(F.struct("first", "last")).alias("_cut_runs")), "runs")
-    joined = docs.join(runs, docs[id_col].eqNullSafe(F.col("_cut_id")) & (text_key(docs[text_col]) == F.col("_cut_key")), "left")
+    runs = written(runs.groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "runs")
+    rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("own_id"), text_key(F.col(text_col)).alias("own_key"), F.col(text_col).alias("text"))
+    joined = rows.join(runs, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("text_key")), "left")
     none = F.array().cast("array<struct<first:int,last:int>>")
-    changed = F.col("_cut_runs").isNotNull()
-    text = cut(F.when(changed, F.col(text_col)).otherwise(""), F.coalesce("_cut_runs", none))
-    return joined.withColumn(text_col, F.when(changed, text).otherwise(F.col(text_col))).select(*docs.columns)
+    changed = F.col("runs").isNotNull()
+    less = cut(F.when(changed, F.col("text")).otherwise(""), F.coalesce("runs", none))
+    kept = joined.withColumn("less", F.when(changed, less).otherwise(F.col("text")))
+    return kept.select(*[F.col("less").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
