@@ -94,12 +94,12 @@ def links(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("crowd,block", [(2048, 2048), (2, 3)])
-def test_near_vectors_against_brute_force(spark, monkeypatch, crowd, block):
+@pytest.mark.parametrize("crowd,block,many", [(2048, 2048, 1 << 26), (2, 3, 1 << 26), (4, 3, 1)])
+def test_near_vectors_against_brute_force(spark, monkeypatch, crowd, block, many):
     monkeypatch.setattr(lattice, "CROWD", crowd)
     monkeypatch.setattr(lattice, "BLOCK", block)
     rows = vectors(3)
-    got = lattice.near_vectors(spark.createDataFrame(rows, SCHEMA), tables=20).collect()
+    got = lattice.near_vectors(spark.createDataFrame(rows, SCHEMA), many=many).collect()
     want = links(rows, 0.98)
     up = list(range(len(rows)))
     for a in want:
@@ -117,17 +117,49 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, crowd, block):
     assert lattice.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_recall_of_pairs_at_the_threshold():
-    rnd = np.random.default_rng(5)
+def pairs_at(cosine, n, d, seed):
+    rnd = np.random.default_rng(seed)
+    a = lattice._unit(rnd.standard_normal((n, d)))
+    side = rnd.standard_normal((n, d))
+    side = lattice._unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    return a, cosine * a + math.sqrt(1 - cosine**2) * side
+
+
+@pytest.mark.parametrize("codes", [2, 3])
+def test_recall_of_pairs_at_the_threshold(codes):
     for d in (16, 64, 384):
-        a = lattice._unit(rnd.standard_normal((2000, d)))
-        side = rnd.standard_normal((2000, d))
-        side = lattice._unit(side - (side * a).sum(axis=1, keepdims=True) * a)
-        cosine = 0.9805
-        b = cosine * a + math.sqrt(1 - cosine**2) * side
-        label = np.zeros(2000, dtype=np.int64)
-        x, y = (lattice.buckets(v, label, lattice.TABLES, lattice.PROBES, lattice.SCALE) for v in (a, b))
+        a, b = pairs_at(0.9805, 1000, d, 5)
+        label = np.zeros(1000, dtype=np.int64)
+        x, y = (lattice.buckets(v, label, codes=codes) for v in (a, b))
         found = np.array([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y)]).mean()
         strangers = np.array([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, np.roll(x, 1, axis=0))]).mean()
-        print(d, found, strangers)
-        assert found >= 0.95 and strangers < 0.05
+        assert found >= 0.98 and strangers < 0.01
+
+
+def test_links_found_end_to_end(spark):
+    a, b = pairs_at(0.981, 1500, 48, 6)
+    rows = [(i, v.tolist(), 0, "", 0) for i, v in enumerate(np.concatenate((a, b)))]
+    got = {r.vec_id: r for r in lattice.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[i + 1500].component_id == i for i in range(1500)) >= 0.98 * 1500
+
+
+def test_largest_bucket_grows_slower_than_the_table():
+    rnd = np.random.default_rng(7)
+    most = []
+    for n in (20_000, 320_000):
+        x, seen = lattice._unit(rnd.standard_normal((n, 32))), []
+        for i in range(0, n, 20_000):
+            seen.append(lattice.buckets(x[i : i + 20_000], np.zeros(min(20_000, n), dtype=np.int64), tables=1))
+        most.append(np.unique(np.concatenate(seen), return_counts=True)[1].max())
+    assert most[1] < 8 * most[0] and most[1] < 100
+
+
+def test_a_dense_group_larger_than_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "CROWD", 50)
+    monkeypatch.setattr(lattice, "BLOCK", 64)
+    rnd = np.random.default_rng(8)
+    x = np.concatenate((lattice._unit(np.ones((400, 24)) + 0.02 * rnd.standard_normal((400, 24))), lattice._unit(rnd.standard_normal((100, 24)))))
+    got = {r.vec_id: r for r in lattice.near_vectors(spark.createDataFrame([(i, v.tolist(), 0, "", 0) for i, v in enumerate(x)], SCHEMA)).collect()}
+    close = lattice._unit(x.astype(np.float32).astype(np.float64))
+    want = (close @ close.T >= 0.98).sum(axis=1) - 1
+    assert [got[i].n_links for i in range(500)] == want.tolist() and {got[i].component_id for i in range(400)} == {0}
