@@ -63,16 +63,35 @@ def test_top_k_of_empty_tables_and_large_components(spark):
     assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 2)] and got[0].score == 2**63 - 1
 
 
-def test_pruning_keeps_what_is_needed():
+def test_bounds_hold():
     rnd = np.random.default_rng(2)
-    x, q = rnd.standard_normal((500, 6)) + 3, rnd.standard_normal((20, 6))
+    x, q = rnd.standard_normal((500, 6)) + 3, rnd.standard_normal((20, 6)) * 2
     p = voronoi.Pivots([x[i] for i in range(12)])
     cell, distance = p.nearest(x)
-    radius = np.array([distance[cell == c].max(initial=0) for c in range(12)])
-    near = [np.sort(distance[cell == c])[:6] for c in range(12)]
-    some = voronoi.needed(q, p.of(6)[1], radius, near, 5)
+    assert (cell == ((x[:, None] - p.of(6)[1]) ** 2).sum(axis=2).argmin(axis=1)).all()
+    least, most, norm = (np.array([f(v[cell == c]) for c in range(12)]) for f, v in ((np.min, distance), (np.max, distance), (np.max, np.linalg.norm(x, axis=1))))
+    above = voronoi.bounds(q, p.of(6)[1], least, most, norm)
+    sure = voronoi.guaranteed(q, p.of(6)[1], [np.sort(distance[cell == c])[:6] for c in range(12)], 5)
     for i in range(20):
-        assert all(some[i, cell[j]] for j in np.argsort(-(x @ q[i]))[:5])
+        score = x @ q[i]
+        assert (score <= above[i][cell]).all() and np.sort(score)[-6] >= sure[i] - 1e-9
+
+
+def test_pairs_looked_at_in_clustered_data(spark, monkeypatch):
+    monkeypatch.setattr(voronoi, "SHELL", 20)
+    rnd = np.random.default_rng(9)
+    centre = rnd.standard_normal((50, 16))
+    x = centre[rnd.integers(0, 50, 3000)] + 0.08 * rnd.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows, seen = [(i, v.tolist(), 0, "", 0) for i, v in enumerate(x)], {}
+    got = voronoi.top_inner(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=10, looked_at=seen).collect()
+    whole = np.floor(1024 * x.astype(np.float32).astype(np.float64))
+    for i in range(0, 3000, 50):
+        score = whole @ whole[i]
+        score[i] = -np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == i] == np.lexsort((np.arange(3000), -score))[:10].tolist()
+    print("share of pairs looked at", seen["pairs"] / seen["all"])
+    assert seen["pairs"] < 0.3 * seen["all"]
 
 
 def test_lattice_points_are_nearest():
