@@ -38,26 +38,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _GAP), lambda w: w != "")
 
 
-def tokens(text: Column) -> Column:
-    """Number of words."""
-    return F.size(words(text)).cast("long")
-
-
 def topics(docs: DataFrame, text: Column, n_topics: int = TOPICS) -> list[str]:
     """The words that stand for topics."""
-    within = docs.select(F.array_distinct(words(text)).alias("w"))
+    within = docs.select(words(text).alias("w")).select(F.array_distinct(F.filter("w", lambda w: F.length(w) >= 4)).alias("w"))
     counts = within.select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.where((F.col("n") <= F.lit(docs.count() * COMMON)) & F.col("w").rlike(TOPIC_WORD)).orderBy(F.desc("n"), "w").limit(n_topics).collect()
     return [r["w"] for r in rows]
 
 
-def topic(text: Column, names: list[str]) -> Column:
-    """The topic of a text by the words that stand for topics."""
-    if not names:
-        return F.lit("none")
-    found = F.filter(words(text), lambda w: w.isin(names))
-    often = F.transform(F.array_distinct(found), lambda w: F.struct((-F.size(F.filter(found, lambda x: x == w))).alias("n"), w.alias("w")))
-    return F.coalesce(F.array_min(often)["w"], F.lit("none"))
+def described(docs: DataFrame, text: Column, names: list[str]) -> DataFrame:
+    """The rows of ``docs`` as ``row``, with their ``n_tokens`` (words) and ``topic`` by the words that stand for topics.
+
+    Each step is a projection of its own, so a text is split once.
+    """
+    out = docs.select(packed(docs).alias("row"), words(text).alias("words"))
+    found = F.filter("words", lambda w: w.isin(names)) if names else F.array().cast("array<string>")
+    out = out.select("row", F.size("words").cast("long").alias("n_tokens"), found.alias("found"))
+    often = F.transform(F.array_distinct("found"), lambda w: F.struct((-F.size(F.filter("found", lambda x: x == w))).alias("n"), w.alias("w")))
+    return out.select("row", "n_tokens", F.coalesce(F.array_min(often)["w"], F.lit("none")).alias("topic"))
 
 
 def rake(cells: list[tuple], targets: list[dict], rounds: int = ROUNDS) -> list[float]:

@@ -75,13 +75,13 @@ def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gneiss.llm.mixing import mixed, tokens, topic, topics
+    from gneiss.llm.mixing import described, mixed, topics
     from gneiss.llm.work import written
 
     docs = _table(spark, sf_dir, "documents")
     text = F.col("text")
     # What the mixture needs of the texts, read once.
-    facts = written(docs.select("doc_id", "source", "lang", topic(text, topics(docs, text)).alias("topic"), tokens(text).alias("n_tokens")), "facts")
+    facts = written(described(docs, text, topics(docs, text)).select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens"), "facts")
     out = mixed(facts, {m: F.col(m) for m in ("source", "lang", "topic")}, F.col("n_tokens"))
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 

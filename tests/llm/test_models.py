@@ -171,8 +171,11 @@ def test_mixing(spark):
     df = spark.createDataFrame(docs_rows(6, 3000), SCHEMA)
     names = mixing.topics(df, F.col("text"), 3)
     assert len(names) == 3
-    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"), names)}
-    out = mixing.mixed(df, margins, mixing.tokens(F.col("text")))
+    plain = df
+    df = mixing.described(plain, F.col("text"), names).select("row.*", F.col("n_tokens").alias("own_tokens"), F.col("topic").alias("own_topic"))
+    assert df.columns == [*plain.columns, "own_tokens", "own_topic"]
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("own_topic")}
+    out = mixing.mixed(df, margins, F.col("own_tokens"))
     rows = out.collect()
     assert out.columns == [*df.columns, "mix_source", "mix_lang", "mix_topic", "n_tokens", "probability", "sampled"] and len(rows) == 3004
     for r in rows:
@@ -184,7 +187,7 @@ def test_mixing(spark):
     kept = sum(r.sampled for r in rows)
     assert abs(kept - sum(r.probability for r in rows)) < 5 * math.sqrt(len(rows) / 4)
     # Cells that are wanted more than they have stay whole; with fewer tokens wanted in all, every margin is met.
-    fair = mixing.mixed(df, margins, mixing.tokens(F.col("text")), keep=0.05)
+    fair = mixing.mixed(df, margins, F.col("own_tokens"), keep=0.05)
     for r in mixing.margins_reached(fair, ["source", "lang", "topic"]).collect():
         have = Counter()
         for x in rows:
@@ -192,10 +195,10 @@ def test_mixing(spark):
         powers = {v: n**0.8 for v, n in have.items() if n}
         assert r.share == pytest.approx(have[r.value] / total) and r.expected == pytest.approx(powers.get(r.value, 0) / sum(powers.values()), abs=1e-6)
     for keep in (0.3, 0.8, 1.0):
-        other = {(r.doc_id, r.text): r.probability for r in mixing.mixed(df, margins, mixing.tokens(F.col("text")), max_cells=2, rounds=3, keep=keep).collect()}
-        same = {(r.doc_id, r.text): r.probability for r in mixing.mixed(df, margins, mixing.tokens(F.col("text")), rounds=3, keep=keep).collect()}
+        other = {(r.doc_id, r.text): r.probability for r in mixing.mixed(df, margins, F.col("own_tokens"), max_cells=2, rounds=3, keep=keep).collect()}
+        same = {(r.doc_id, r.text): r.probability for r in mixing.mixed(df, margins, F.col("own_tokens"), rounds=3, keep=keep).collect()}
         assert all(abs(other[k] - same[k]) < 1e-9 for k in same)
-    assert mixing.mixed(df.limit(0), margins, mixing.tokens(F.col("text"))).count() == 0
-    given = mixing.mixed(df, {"source": F.col("source")}, mixing.tokens(F.col("text")), targets=[{"src0": 0.5, "src1": 0.5, "none": 1.0}]).collect()
+    assert mixing.mixed(df.limit(0), margins, F.col("own_tokens")).count() == 0
+    given = mixing.mixed(df, {"source": F.col("source")}, F.col("own_tokens"), targets=[{"src0": 0.5, "src1": 0.5, "none": 1.0}]).collect()
     assert {r.source for r in given if r.sampled} <= {"src0", "src1"}
-    assert mixing.topics(df.limit(0), F.col("text")) == []
+    assert mixing.topics(plain.limit(0), F.col("text")) == []
