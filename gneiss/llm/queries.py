@@ -155,6 +155,76 @@ SELECT page_id, host, path, d.rule AS rule, coalesce(d.verdict, 'allow') AS verd
 """
 
 
+def _components_sql(final: str) -> str:
+    """From ``rows`` (n, id) and ``edges`` (a, b, both ways): ``comp`` (n, component_id), then ``final``."""
+    return f"""reach AS (
+    SELECT a, b FROM edges
+    UNION
+    SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+), comp AS (
+    SELECT x.n, least(x.id, min(y.id)) AS component_id FROM rows x LEFT JOIN reach ON reach.a = x.n LEFT JOIN rows y ON y.n = reach.b GROUP BY x.n, x.id
+)
+{final}"""
+
+
+ORACLES["op1_suffix_array_dedup"] = """
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), win AS (
+    SELECT n, i, hash(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT n, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 399)) AS i FROM d)
+), rep AS (
+    SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1
+), steps AS (
+    SELECT n, i, CASE WHEN i <= lag(i) OVER (PARTITION BY n ORDER BY i) + 400 THEN 0 ELSE 1 END AS s FROM rep
+), runs AS (
+    SELECT n, i, sum(s) OVER (PARTITION BY n ORDER BY i) AS g FROM steps
+), spans AS (
+    SELECT n, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY n, g
+), pieces AS (
+    SELECT n, a, b, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS before FROM spans
+), cut AS (
+    SELECT p.n, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS gone, count(*) AS spans
+    FROM pieces p JOIN d ON d.n = p.n GROUP BY p.n
+)
+SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.n = d.n
+"""
+
+ORACLES["op4_ngram_jaccard_join"] = (
+    """WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+    SELECT n, doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), sizes AS MATERIALIZED (
+    SELECT n, doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM sets
+), rows AS (
+    SELECT n, doc_id AS id FROM sizes
+), grams AS MATERIALIZED (
+    SELECT n, unnest(s) AS g FROM sets
+), common AS (
+    SELECT a.n AS a, b.n AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.n <> b.n GROUP BY a.n, b.n
+), edges AS MATERIALIZED (
+    SELECT a, b FROM common JOIN sizes x ON x.n = a JOIN sizes y ON y.n = b WHERE 100 * k >= 90 * (x.n_shingles + y.n_shingles - k)
+), """
+    + _components_sql("SELECT doc_id, n_shingles, component_id FROM sizes JOIN comp USING (n)")
+)
+
+ORACLES["op5_lattice_dedup"] = (
+    """WITH RECURSIVE rows AS MATERIALIZED (
+    SELECT row_number() OVER () AS n, vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), good AS MATERIALIZED (
+    SELECT * FROM rows WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda v: v IS NOT NULL AND isfinite(v))) = len(x) AND len(list_filter(x, lambda v: v <> 0)) > 0
+), edges AS MATERIALIZED (
+    SELECT a.n AS a, b.n AS b FROM good a JOIN good b ON a.label = b.label AND a.n <> b.n AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), """
+    + _components_sql(
+        "SELECT rows.id AS vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, component_id, rows.id IS NOT DISTINCT FROM component_id AS kept"
+        " FROM rows JOIN comp USING (n) LEFT JOIN (SELECT a AS n, count(*) AS k FROM edges GROUP BY a) USING (n)"
+    )
+)
+
+
 def _mixing_sql(rounds: int = 20, temper: float = 0.8, keep: float = 0.8, topics: int = 32) -> str:
     """The rounds of fitting, written out."""
     parts = [
