@@ -17,6 +17,7 @@ from gneiss.errors import NotFitted
 from gneiss.functions.values import Sentinels, among, cleaned, is_numeric
 from gneiss.operators import splits
 from gneiss.plans.longform import frequencies, melt, order_statistics
+from gneiss.plans.store import stored
 
 MISSING, OTHER, SPECIAL = -1, -2, -3
 EPS = 1e-6
@@ -186,10 +187,9 @@ def from_rules(cuts: dict | None = None, groups: dict | None = None, **more) ->
     return Binning({f: _edges(c) for f, c in (cuts or {}).items()}, {f: [[str(v) for v in g] for g in gs] for f, gs in (groups or {}).items()}, **more)
 
 
-def _ranges(df: DataFrame, features: list[str]) -> dict[str, tuple]:
-    """Raw smallest and largest value and number of values of each feature."""
-    long = melt(df, features).where("value is not null and not isnan(value)")
-    return {r["feature"]: (r["lo"], r["hi"]) for r in long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+def _ranges(values: DataFrame) -> dict[str, tuple]:
+    """Raw smallest and largest value of each feature."""
+    return {r["feature"]: (r["lo"], r["hi"]) for r in values.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
 
 
 def fit(df: DataFrame, features: list[str] | None = None, method: str = "quantile", n_bins: int = 5, *, target: str | None = None, sentinels: Sentinels = Sentinels(), min_share: float = 0.05, drop_empty: bool = False, join_above: int = 100) -> Binning:
@@ -200,7 +200,15 @@ def fit(df: DataFrame, features: list[str] | None = None, method: str = "quantil
         raise ValueError("cart needs a target")
     names = [f for f in (features or df.columns) if f in df.columns and f != target and is_numeric(df.schema[f].dataType)]
     nothing = [f for f in (features or df.columns) if f in df.columns and f != target and df.schema[f].dataType.typeName() == "void"]
-    ranges = _ranges(df, names) if names else {}
+    # One table of raw values and their numbers serves all that follows; a tree's also has the target.
+    real = "value is not null and not isnan(value)"
+    if method == "cart":
+        long = melt(df, names, {"y": F.col(target).cast("double")}).where(real) if names else None
+        sums = (F.count("y").alias("n"), F.sum("y").alias("bad"))
+        values = stored(long.groupBy("feature", "value").agg(*sums)) if names else None
+    else:
+        values = stored(frequencies(melt(df, names).where(real), ["feature"])) if names else None
+    ranges = _ranges(values) if names else {}
     cuts: dict[str, list[float]] = {f: [] for f in nothing}
     rest = []
     for f in names:
@@ -212,11 +220,10 @@ def fit(df: DataFrame, features: list[str] | None = None, method: str = "quantil
             rest.append(f)
     if rest:
         excluded = sentinels.numbers("missing") + sentinels.numbers("special")
+        freq = values.where(F.col("feature").isin(rest)).withColumn("value", cleaned(F.col("value"), excluded)).where("value is not null")
         if method == "cart":
-            long = melt(df, rest, {"y": F.col(target).cast("double")})
-            found = splits.cart_cuts(long.withColumn("value", cleaned(F.col("value"), excluded)), n_bins, min_share)
+            found = splits.cuts_of_counts(freq.where("n > 0"), n_bins, min_share)
         else:
-            freq = frequencies(melt(df, rest).withColumn("value", cleaned(F.col("value"), excluded)).where("value is not null and not isnan(value)"), ["feature"])
             found = _quantile_cuts(freq, n_bins) if method == "quantile" else _uniform_cuts(freq, n_bins, drop_empty)
         cuts |= {f: _edges(found.get(f, [])) for f in rest}
     return Binning({f: cuts[f] for f in [*names, *nothing]}, {}, sentinels, {}, join_above)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.values import Sentinels, among, cleaned
-from gneiss.plans.longform import frequencies, melt, order_statistics, split_kinds
+from gneiss.plans.longform import frequencies, melt, middle, nearest, ranked, split_kinds
+from gneiss.plans.store import stored
 
 DQ = ("missing", "zeros", "unique", "top1")
 MOMENTS = ("mean", "std", "min", "max", "sum", "skew", "kurtosis")
@@ -30,8 +31,6 @@ class ProfileConfig:
     psi_bins: int = 10
     psi_method: str = "quantile"
     psi_ignore: float = 0.05
-    approximate_above: int | None = None
-    extra: dict = field(default_factory=dict)
 
     def but(self, **changes) -> ProfileConfig:
         return replace(self, **changes)
@@ -102,25 +101,16 @@ def quantiles(df: DataFrame, features: list[str], sentinels: Sentinels, names: d
     """Nearest-rank quantiles, and the median, which lies midway between the two middle values."""
     by = ["feature", *_levels(group)]
     clean = cleaned(F.col("value"), sentinels.numbers("missing") + sentinels.numbers("special"))
-    freq = frequencies(melt(df, features, _levels(group)).withColumn("value", clean).where("value is not null"), by)
+    freq = stored(frequencies(melt(df, features, _levels(group)).withColumn("value", clean).where("value is not null"), by))
     if group is not None:
         total = freq.groupBy("feature", "value").agg(F.sum("n").alias("n")).select("feature", F.lit(None).cast("string").alias("grp"), F.lit(True).alias("is_total"), "value", "n")
         freq = freq.select("feature", F.col("grp").cast("string").alias("grp"), F.lit(False).alias("is_total"), "value", "n").unionByName(total)
         by = ["feature", "grp", "is_total"]
-    near = {m: q for m, q in names.items() if m != "median"}
-    out = None
-    if near:
-        out = order_statistics(freq, by, list(near.values())).groupBy(*by).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(m) for m, q in near.items()])
+    ranks = {m: nearest(q) for m, q in names.items() if m != "median"}
     if "median" in names:
-        middle = freq.groupBy(*by).agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("median"))
-        if out is None:
-            out = middle
-        else:
-            same = None
-            for k in by:
-                one = out[k].eqNullSafe(middle[k])
-                same = one if same is None else same & one
-            out = out.join(middle, same).select(*[out[k] for k in by], *[out[m] for m in near], middle["median"])
+        ranks |= {"lower": middle(False), "upper": middle(True)}
+    at = lambda m: F.max(F.when(F.col("name") == m, F.col("value")))
+    out = ranked(freq, by, ranks).groupBy(*by).agg(*[((at("lower") + at("upper")) / 2 if m == "median" else at(m)).alias(m) for m in names])
     if group is None:
         out = out.withColumn("grp", F.lit(None).cast("string")).withColumn("is_total", F.lit(True))
     return out
@@ -152,21 +142,40 @@ def overview(df: DataFrame, features: list[str], config: ProfileConfig = Profile
 
 def trend(df: DataFrame, features: list[str], metric: str, group: Column, config: ProfileConfig = ProfileConfig()) -> DataFrame:
     """``feature``, ``grp``, ``is_total`` and ``value`` of one metric, by group and in total."""
+    return trends(df, features, (metric,), group, config)[metric]
+
+
+def trends(df: DataFrame, features: list[str], metrics: tuple[str, ...], group: Column, config: ProfileConfig = ProfileConfig()) -> dict[str, DataFrame]:
+    """The trend of each metric.
+
+    Metrics of one kind come from one aggregate: one pass for all rates and moments, one for distinct values, one for quantiles.  With several
+    metrics each such table, of a row for each feature and group, is stored, so that no trend computes it again.  Statistics need numeric
+    features; an unknown metric is refused.
+    """
     numbers, others = split_kinds(df, features)
-    s, parts = config.sentinels, []
-    if metric in ("unique", "top1"):
-        parts += [counts(df, f, s, k, group) for f, k in ((numbers, True), (others, False)) if f]
-    elif metric in QUANTILES:
-        parts += [quantiles(df, numbers, s, {metric: QUANTILES[metric]}, group)] if numbers else []
-    elif metric in DQ or metric in MOMENTS:
-        parts += [moments(df, numbers, s, (metric,) if metric in MOMENTS else (), group)] if numbers else []
-        parts += [counts(df, others, s, False, group)] if others and metric in DQ else []
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
-    if not parts:
-        raise ValueError(f"{metric} needs numeric features")
-    made = [p.select("feature", "grp", "is_total", F.col(metric).cast("double").alias("value")) for p in parts]
-    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
+    s = config.sentinels
+    for m in metrics:
+        if m not in (*DQ, *MOMENTS, *QUANTILES):
+            raise ValueError(f"unknown metric {m!r}")
+        if m not in DQ and not numbers:
+            raise ValueError(f"{m} needs numeric features")
+    of = lambda names: tuple(m for m in metrics if m in names)
+    made: dict[str, list[DataFrame]] = {m: [] for m in metrics}
+
+    def keep(table: DataFrame, names: tuple[str, ...]) -> None:
+        table = stored(table) if len(metrics) > 1 else table
+        for m in names:
+            made[m].append(table.select("feature", "grp", "is_total", F.col(m).cast("double").alias("value")))
+
+    if numbers and of(("missing", "zeros", *MOMENTS)):
+        keep(moments(df, numbers, s, of(MOMENTS), group), of(("missing", "zeros", *MOMENTS)))
+    if numbers and of(("unique", "top1")):
+        keep(counts(df, numbers, s, True, group), of(("unique", "top1")))
+    if others and of(DQ):
+        keep(counts(df, others, s, False, group), of(DQ))
+    if numbers and of(tuple(QUANTILES)):
+        keep(quantiles(df, numbers, s, {m: QUANTILES[m] for m in of(tuple(QUANTILES))}, group), of(tuple(QUANTILES)))
+    return {m: p[0] if len(p) == 1 else p[0].unionByName(p[1]) for m, p in made.items()}
 
 
 def stability(long: DataFrame) -> DataFrame:
@@ -180,8 +189,10 @@ def pivoted(long: DataFrame, groups: list[str] | None = None, with_stability: bo
     """One column for each group, then the total, then the stability columns."""
     if groups is None:
         groups = [r[0] for r in long.where("not is_total and grp is not null").select("grp").distinct().orderBy("grp").collect()]
-    name = F.when(F.col("is_total"), TOTAL).otherwise(F.col("grp"))
-    wide = long.withColumn("name", name).groupBy("feature").pivot("name", [*groups, TOTAL]).agg(F.first("value"))
+    # A group that is itself named so does not fall together with the total.
+    named = {g: f"{g} (group)" if g == TOTAL else g for g in groups}
+    name = F.when(F.col("is_total"), TOTAL).when(F.col("grp") == TOTAL, named.get(TOTAL, TOTAL)).otherwise(F.col("grp"))
+    wide = long.withColumn("name", name).groupBy("feature").pivot("name", [*named.values(), TOTAL]).agg(F.first("value"))
     return wide.join(stability(long), "feature", "left").orderBy("feature") if with_stability else wide.orderBy("feature")
 
 

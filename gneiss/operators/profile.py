@@ -15,7 +15,7 @@ from gneiss.operators import overview as ov
 from gneiss.operators import psi as psi_ops
 from gneiss.plans.longform import split_kinds
 from gneiss.session import log, timed
-from gneiss.sources.frames import formatted, sample_share
+from gneiss.sources.frames import as_frame, formatted, sample_share
 from gneiss.sources.xlsx import write_workbook
 
 GRAIN_COLUMN = "_gneiss_grain"
@@ -65,7 +65,7 @@ class Report:
                 sheets[f"Trend_{m.capitalize()}"] = (frame, scales, {"group_cv": (0, 1, "638EC6")})
             write_workbook(path, sheets)
             return True
-        except OSError:
+        except Exception:  # a sheet can fail in many ways, and a report goes on without its workbook
             log.exception("the workbook could not be written")
             return False
 
@@ -96,9 +96,10 @@ def _table(frame: pd.DataFrame, percent: bool = False, gradient: tuple | None =
 
 
 class Profiler:
-    """Profiles of a table's features."""
+    """Profiles of the features of a table, a Spark, pandas or Arrow one."""
 
-    def __init__(self, df: DataFrame, features=None, *, exclude=None, kinds=None, missing=(), special=(), sample: float | None = None, config: ov.ProfileConfig | None = None):
+    def __init__(self, table, features=None, *, exclude=None, kinds=None, missing=(), special=(), sample: float | None = None, config: ov.ProfileConfig | None = None):
+        df = as_frame(None, table)
         self.df = sample_share(df, sample) if sample is not None else df
         self.features = pick_features(self.df, features, exclude, kinds)
         config = config or ov.ProfileConfig()
@@ -127,13 +128,16 @@ class Profiler:
         numbers = [f for f in numbers if f != group]
         if group is None:
             return report
-        key = F.col(group)
-        groups = [str(r[0]) for r in df.select(key).where(key.isNotNull()).distinct().orderBy(key).collect()]
+        key = F.col("`" + group.replace("`", "``") + "`")
+        groups = [r["name"] for r in df.select(key.alias("g")).where("g is not null").distinct().select("g", F.col("g").cast("string").alias("name")).orderBy("g").collect()]
+        metrics = (*config.dq_metrics, *(config.stat_metrics if numbers else ()))
+        made = ov.trends(df, features, metrics, key, config) if metrics and features else {}
         for m in config.dq_metrics:
-            report.dq[m] = ov.pivoted(ov.trend(df, features, m, key, config), groups)
+            if m in made:
+                report.dq[m] = ov.pivoted(made[m], groups)
         for m in config.stat_metrics:
-            if numbers:
-                report.stats[m] = ov.pivoted(ov.trend(df, numbers, m, key, config), groups, with_stability=True)
+            if m in made:
+                report.stats[m] = ov.pivoted(made[m], groups, with_stability=True)
         long = psi_ops.psi(df, features, key, config.psi_bins, config.psi_method, config.sentinels).withColumn("grp", F.col("grp").cast("string"))
         wide = ov.pivoted(long.withColumnRenamed("psi", "value"), sorted(groups))
         report.stats["psi"] = wide.join(psi_ops.psi_stability(long, config.psi_ignore), "feature", "left").orderBy("feature")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.values import Sentinels
 from gneiss.operators.binning import MISSING, SPECIAL, Binning, fit
 from gneiss.plans.longform import frequencies, melt, split_kinds
+from gneiss.plans.store import stored
 
 #: Share of a bin that a group does not have.
 ABSENT = 1e-6
@@ -19,7 +20,8 @@ def _from_counts(counts: DataFrame, skeleton: DataFrame) -> DataFrame:
     Rows of a null group are left out of the groups and of the total.  ``is_total`` rows compare all rows with the baseline.
     Groups and bins are few, so their cross product is small whatever the table's size.
     """
-    counts = counts.where("grp is not null")
+    # Few rows, read by several branches.
+    counts = stored(counts.where("grp is not null"))
     base = counts.agg(F.min("grp").alias("base"))
     whole = counts.groupBy("feature", "bin").agg(F.sum("n").alias("n")).withColumn("grp", F.lit(None).cast(counts.schema["grp"].dataType))
     shares = counts.withColumn("is_total", F.lit(False)).unionByName(whole.withColumn("is_total", F.lit(True)))
@@ -47,6 +49,7 @@ def categorical_psi(df: DataFrame, features: list[str], group: Column) -> DataFr
     """The same over categories; null is the category "Missing"."""
     long = melt(df, features, {"grp": group}, numeric=False).withColumn("value", F.coalesce("value", F.lit("Missing")))
     counts = frequencies(long, ["grp", "feature"]).withColumnRenamed("value", "bin")
+    counts = stored(counts)
     return _from_counts(counts, counts.where("grp is not null").select("feature", "bin").distinct())
 
 

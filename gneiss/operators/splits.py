@@ -57,13 +57,19 @@ def tree_cuts(value: np.ndarray, n: np.ndarray, bad: np.ndarray, leaves: int, mi
 
 
 def cart_cuts(long: DataFrame, leaves: int, min_share: float) -> dict[str, list[float]]:
-    """Tree cuts of each feature from ``feature``, ``value``, ``y``, between any two distinct values.
+    """Tree cuts of each feature from ``feature``, ``value``, ``y``."""
+    rows = long.where("value is not null and not isnan(value) and y is not null")
+    return cuts_of_counts(rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")), leaves, min_share)
 
-    Counts are taken on the cluster.  A feature of up to ``FINE`` distinct values has its tree grown in one task, others by rounds
+
+def cuts_of_counts(freq: DataFrame, leaves: int, min_share: float) -> dict[str, list[float]]:
+    """Tree cuts of each feature from ``feature``, ``value``, its rows ``n`` and bads ``bad``, between any two distinct values.
+
+    Values are compared in single precision.  A feature of up to ``FINE`` distinct values has its tree grown in one task, others by rounds
     over running counts that are spread by value ranges.
     """
-    rows = long.where("value is not null and not isnan(value) and y is not null").withColumn("value", F.col("value").cast("float").cast("double"))
-    freq = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"))
+    rows = freq.withColumn("value", F.col("value").cast("float").cast("double"))
+    freq = stored(rows.groupBy("feature", "value").agg(F.sum("n").alias("n"), F.sum("bad").cast("double").alias("bad")))
     sizes = {r["feature"]: r["d"] for r in freq.groupBy("feature").agg(F.count(F.lit(1)).alias("d")).collect()}
     many = [f for f, d in sizes.items() if d > FINE]
     wide = {}
@@ -91,7 +97,6 @@ def _running(freq: DataFrame, spread: int) -> DataFrame:
 
     Each range is summed for itself and the ranges' sums give the offsets, so no task holds a whole feature.
     """
-    freq = stored(freq.withColumn("bad", F.col("bad").cast("double")))
     ends = freq.groupBy("feature").agg(F.percentile_approx("value", [i / spread for i in range(1, spread)] or [0.5], F.lit(10 * spread)).alias("ends")).collect()
     shared = freq.sparkSession.sparkContext.broadcast({r["feature"]: np.unique(r["ends"]) for r in ends})
     freq = freq.mapInPandas(lambda x: _with_range(x, shared.value), "feature string, value double, n long, bad double, range int")

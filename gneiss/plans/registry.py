@@ -129,9 +129,13 @@ def unique_rate(spark, sf):
     return out.select("feature", F.round("unique", 6).alias("unique_rate"))
 
 
-@_query("approx_unique")
+@_query("approx_unique", f"WITH {_melted(MEASURES, 'lineitem')}, u AS (SELECT feature, count(DISTINCT v) AS n FROM m GROUP BY feature) SELECT feature, CAST(n AS BIGINT) AS distinct_values, true AS sketch_is_close FROM u")
 def approx_unique(spark, sf):
-    return overview.approximate_unique(_table(spark, sf, "lineitem"), MEASURES)
+    """The sketch's estimate, held against the exact number: within three of its standard errors."""
+    df = _table(spark, sf, "lineitem")
+    sketch = overview.approximate_unique(df, MEASURES, error=0.02)
+    exact = overview.counts(df, MEASURES, Sentinels(), True).select("feature", F.col("unique").alias("exact"), F.round(F.col("unique") * F.col("rows")).cast("long").alias("distinct_values"))
+    return sketch.join(exact, "feature").select("feature", "distinct_values", (F.abs(F.col("unique") - F.col("exact")) <= 0.06 * F.col("exact")).alias("sketch_is_close"))
 
 
 def _spark_sql(melted: str, features: list[str], clean: str, bins: int = 8) -> str:

@@ -5,18 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read again; a temporary folder serves where that is unset on a local master."""
-    spark = df.sparkSession
+def own_folder(spark: SparkSession) -> str:
+    """The application's own part of ``spark.checkpoint.dir``; a temporary folder serves where that is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="gneiss-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/gneiss/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/gneiss/{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that were not written yet can no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

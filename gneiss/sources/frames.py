@@ -13,10 +13,11 @@ from gneiss.errors import BadType
 from gneiss.functions.values import is_numeric
 
 
-def as_frame(spark: SparkSession, table) -> DataFrame:
-    """A Spark table from a Spark, pandas or Arrow one; anything else is refused."""
+def as_frame(spark: SparkSession | None, table) -> DataFrame:
+    """A Spark table from a Spark, pandas or Arrow one; anything else is refused.  Without a session the running one is taken."""
     if isinstance(table, DataFrame):
         return table
+    spark = spark or SparkSession.builder.getOrCreate()
     if isinstance(table, pa.Table):
         return spark.createDataFrame(table)
     if isinstance(table, pd.DataFrame):

@@ -177,3 +177,30 @@ def test_sparklines_count_all_rows(spark):
     df = spark.range(n).select(*[F.when(F.col("id") == 100 * i + 3, 10.0 ** (i + 3)).otherwise(x).alias(f"x{i}") for i in range(6)])
     got = {r["feature"]: r["distribution"] for r in overview.sparklines(df, df.columns).collect()}
     assert got == {"x0": "▂__█___▂", "x1": "█▂_____▂"} | {f"x{i}": "█______▂" for i in range(2, 6)}
+
+
+def test_profile_by_flags_large_numbers_and_a_group_named_total(spark):
+    df = spark.createDataFrame(pd.DataFrame({"flag": [True, False, True, False], "big": [1e20, 1e20, 2.5, 2.5], "word": ["total", "x", "total", "x"], "v": [1.0, 2.0, 3.0, 4.0]}))
+    for by, want in (("flag", {"true": 2.0, "false": 3.0}), ("big", {"1.0E20": 1.5, "2.5": 3.5}), ("word", {"total (group)": 2.0, "x": 3.0})):
+        report = Profiler(df, ["v"]).profile(by)
+        (row,) = report.stats["mean"].collect()
+        assert {k: row[k] for k in want} == want and row["total"] == 2.5
+        (row,) = report.dq["missing"].collect()
+        assert row["total"] == 0 and all(row[k] == 0 for k in want)
+
+
+def test_profile_of_pandas_and_odd_names(spark):
+    report = Profiler(pd.DataFrame({"a.b": ["p", "q", "p"], "v": [1, 2, 4]}), ["v"]).profile("a.b")
+    (row,) = report.stats["median"].collect()
+    assert (row["p"], row["q"], row["total"]) == (2.5, 2.0, 2.0)
+
+
+def test_median_by_ranks(spark):
+    rnd = np.random.default_rng(1)
+    frame = pd.DataFrame({"a": rnd.integers(0, 50, 1001).astype(float), "b": rnd.random(1001), "g": rnd.integers(0, 3, 1001)})
+    out = overview.quantiles(spark.createDataFrame(frame), ["a", "b"], Sentinels(), overview.QUANTILES, F.col("g")).collect()
+    for r in out:
+        part = frame if r.is_total else frame[frame["g"] == int(r.grp)]
+        assert r["median"] == part[r.feature].median()
+        v = np.sort(part[r.feature].to_numpy())
+        assert r.p25 == v[int(math.floor((len(v) - 1) * 0.25 + 0.5))]
