@@ -8,11 +8,15 @@ Exact over 64-bit fingerprints of n-grams:
    the prefix that any partner has to share.  Equal sets become one *class*.
 3. Classes that share a prefix n-gram and fit in size are compared by their bitmaps alone; those that may
    link are joined to stars, never to all pairs, and the components are *clusters*.  No link crosses
-   clusters.  Classes under an n-gram of very many classes are joined without a look at the bitmaps.
+   clusters.  Under an n-gram of very many classes, those of one size band are joined to a star, and the
+   stars of neighbouring bands to each other, without a look at the bitmaps.
 4. The sets of each cluster meet in size-banded tiles: bands of the similarity's ratio, so that links
    stay within a band or reach the next one, and blocks of bounded size within a band.  In a tile,
    bit counts of hashed bitmaps bound the overlap from above; pairs that pass are decided by
    intersecting the sorted arrays.  Pairs whose classes are joined already are not looked at again.
+   A cluster of many sets first meets a few heads of each band; what links with them makes its core,
+   and only the sets outside the core then meet all others.  So a group of near copies that fills a
+   cluster is read a few times, however large, and no pair goes undecided.
 5. A tile gives a spanning star of each local component; their components are the result.
 
 Cases: null or blank texts have an empty set and no links; repeated rows link with each other; a null id
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +50,8 @@ BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 22
 BITS = 1024
 #: Classes under one prefix n-gram up to which their bitmaps are compared before the tiles.
 CROWD = 2048
+#: Heads of a size band of a large cluster.
+HEADS = 8
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -233,37 +239,77 @@ def _tile_batches(num: int, den: int):
     return run
 
 
-def tiles(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Copies each set of a cluster to the tiles in which it meets all sets it may link with.
+def _band(n: Column, num: int, den: int) -> Column:
+    """Size bands: sets that link are of one band or of neighbouring ones."""
+    ratio = math.log(den / num) if num < den else 1.0
+    return F.floor(F.log(n) / ratio + 1e-9).cast("int")
+
+
+def _blocks(n: Column) -> Column:
+    """Blocks for sets of ``n`` members, so that two blocks make a tile of bounded size."""
+    return F.greatest(F.ceil(F.count(n) / (BLOCK_SETS // 2)), F.ceil(F.coalesce(F.sum(n), F.lit(0)) / (BLOCK_GRAMS // 2))).cast("int")
+
+
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(blocks).cast("long")).cast("int")
+
+
+def _each(df: DataFrame, blocks: str) -> DataFrame:
+    """A row ``i`` for each of a row's ``blocks``."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias("i"))
+
+
+def _bands_beside(df: DataFrame) -> DataFrame:
+    """Each row once for its band and once for each of the two beside it, as ``other``."""
+    return df.select("*", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("other"))
+
 
-    A cluster within the block bounds is one tile.  A larger one is cut into size bands and blocks, and each
-    tile holds two blocks of one band or of neighbouring bands.
+def _seats(df: DataFrame, side: int, *tile: str | Column) -> DataFrame:
+    return df.select("cluster", F.concat_ws("/", *tile).alias("tile"), "node", F.lit(side).alias("side"), "grams")
+
+
+def head_tiles(rows: DataFrame) -> DataFrame:
+    """Tiles in which each set (``cluster``, ``band``, ``node``, ``n``, ``grams``) meets the heads of its band and of the two beside it."""
+    bands = rows.groupBy("cluster", "band").agg(_blocks(F.col("n")).alias("blocks"))
+    heads = rows.groupBy("cluster", "band", F.pmod(F.xxhash64("node"), F.lit(HEADS)).alias("slot")).agg(F.min("node").alias("node"))
+    heads = _bands_beside(heads.join(rows.select("node", "grams"), "node")).join(bands.withColumnRenamed("band", "other"), ["cluster", "other"])
+    members = rows.join(bands, ["cluster", "band"])
+    return _seats(_each(heads, "blocks"), 0, "other", "i").unionByName(_seats(members, 1, "band", _block("blocks")))
+
+
+def rest_tiles(rows: DataFrame) -> DataFrame:
+    """Tiles in which each set that is not of the ``core`` meets all sets of its band and of the two beside it."""
+    bands = rows.groupBy("cluster", "band").agg(_blocks(F.col("n")).alias("high"), _blocks(F.when(~F.col("core"), F.col("n"))).alias("low"))
+    beside = _bands_beside(bands).select("cluster", F.col("other").alias("band"), F.struct(F.col("band").alias("other"), F.col("high").alias("other_high"), F.col("low").alias("other_low")).alias("o"))
+    plan = bands.join(beside.groupBy("cluster", "band").agg(F.collect_list("o").alias("beside")), ["cluster", "band"])
+    met = rows.join(plan, ["cluster", "band"]).select("*", F.explode("beside").alias("o")).select("*", "o.*")
+    one = _seats(_each(met.where(~F.col("core")), "other_high"), 0, "band", _block("low"), "other", "i")
+    return one.unionByName(_seats(_each(met.where("other_low > 0"), "other_low"), 1, "other", "i", "band", _block("high")))
+
+
+def linked_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Stars ``a``, ``b`` of sets (``cluster``, ``node``, ``grams``) that link, for all links within clusters.
+
+    A cluster within the block bounds is one tile.
     """
-    ratio = math.log(den / num) if num < den else 1.0
-    n = F.octet_length("grams") / 8
-    rows = sets.withColumn("n", n).withColumn("band", F.floor(F.log(n) / ratio).cast("int"))
-    totals = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams_sum"))
-    small = (F.col("members") <= BLOCK_SETS) & (F.col("grams_sum") <= BLOCK_GRAMS)
-    bands = rows.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (BLOCK_SETS // 2)), F.ceil(F.sum("n") / (BLOCK_GRAMS // 2))).cast("int").alias("blocks"))
-    above = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = bands.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    plan = bands.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left").join(totals, "cluster")
-    plan = plan.select("cluster", "band", "blocks", F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("below", F.lit(0)).alias("below"), small.alias("small"))
-    rows = rows.join(plan, ["cluster", "band"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    rows = rows.withColumn("block", F.when(F.col("small"), F.lit(0)).otherwise(block))
-
-    def pair(band, i, j, step):
-        return F.concat_ws("/", band, i, j, F.lit(step))
-
-    def upto(column):
-        return F.when(F.col(column) > 0, F.sequence(F.lit(0), F.col(column) - 1)).otherwise(F.array().cast("array<int>"))
-
-    inside = F.transform(upto("blocks"), lambda j: F.struct(pair(F.col("band"), F.least(F.col("block"), j), F.greatest(F.col("block"), j), 0).alias("tile"), F.when(F.col("block") > j, 1).otherwise(0).alias("side")))
-    up = F.transform(upto("above"), lambda j: F.struct(pair(F.col("band"), F.col("block"), j, 1).alias("tile"), F.lit(0).alias("side")))
-    down = F.transform(upto("below"), lambda j: F.struct(pair(F.col("band") - 1, j, F.col("block"), 1).alias("tile"), F.lit(1).alias("side")))
-    whole = F.array(F.struct(F.lit("").alias("tile"), F.lit(0).alias("side")))
-    return rows.select("cluster", "node", "grams", F.explode(F.when(F.col("small"), whole).otherwise(F.concat(inside, up, down))).alias("t")).select("cluster", "t.tile", "node", "t.side", "grams")
+
+    def met(tiles: DataFrame) -> DataFrame:
+        return tiles.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile").mapInArrow(tidied(_tile_batches(num, den)), "a long, b long")
+
+    n = (F.octet_length("grams") / 8).cast("long")
+    totals = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum(n).alias("grams_sum"))
+    large = written(totals.where((F.col("members") > BLOCK_SETS) | (F.col("grams_sum") > BLOCK_GRAMS)).select("cluster"), "large")
+    whole = lambda df: met(df.select("cluster", F.lit("").alias("tile"), "node", F.lit(0).alias("side"), "grams"))
+    if large.isEmpty():
+        return whole(sets)
+    rows = sets.join(large, "cluster").select("cluster", _band(n, num, den).alias("band"), "node", n.alias("n"), "grams")
+    stars = written(met(head_tiles(rows)), "stars")
+    parts = rows.select("cluster", "band", "node", "n").join(connected(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = written(parts, "parts")
+    core = parts.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("members")).groupBy("cluster").agg(F.max(F.struct("members", "component")).alias("most"))
+    parts = parts.join(core, "cluster").select("node", (F.col("component") == F.col("most.component")).alias("core"))
+    rest = met(rest_tiles(rows.join(parts, "node")))
+    return whole(sets.join(large, "cluster", "left_anti")).unionByName(stars).unionByName(rest)
 
 
 def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -289,8 +335,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = texts.alias("b").join(asked.alias("a"), F.col("b.id").eqNullSafe(F.col("a.id")) & (F.col("b.text_key") == F.col("a.text_key"))).select("a.cluster", "a.node", "b.text")
     run, schema = _set_batches(k)
     sets = written(texts.mapInArrow(tidied(run), schema), "sets")
-    pairs = tiles(sets, num, den).repartition("cluster", "tile").sortWithinPartitions("cluster", "tile").mapInArrow(tidied(_tile_batches(num, den)), "a long, b long")
-    grouped = written(connected(pairs), "groups")
+    grouped = written(connected(linked_sets(sets, num, den)), "groups")
 
     best = classes.select("node", "member").join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "member")
     heads = best.groupBy("component").agg(F.min("member").alias("keeper"))
@@ -309,15 +354,16 @@ def _repeats(found: DataFrame) -> bool:
 def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
     """Stars over classes that share a prefix n-gram and whose sizes and bitmaps allow a link."""
     posts = classes.select(F.explode("head").alias("key"), "node", "n")
-    by_key = Window.partitionBy("key")
-    posts = posts.withColumn("size", F.count(F.lit(1)).over(by_key)).where("size > 1")
-    w = by_key.orderBy("n", "node")
-    posts = posts.select("key", "node", "n", "size", F.first("node").over(w).alias("first"), F.first("n").over(w).alias("first_n"), F.lag("node").over(w).alias("prior"), F.lag("n").over(w).alias("prior_n"))
-    posts = written(posts, "posts")
-
-    fits = lambda c: F.col(c) * den >= F.col("n") * num
-    partner = F.when(fits("first_n") & (F.col("first") != F.col("node")), F.col("first")).when(fits("prior_n") & (F.col("prior") != F.col("node")), F.col("prior"))
-    crowded = posts.where(F.col("size") > CROWD).select(F.col("node").alias("a"), partner.alias("b")).where("b is not null")
+    # Counted with a partial step and joined as plain exchanges, so the rows of a hot key are never in one task.
+    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    posts = written(posts.join(sizes, "key"), "posts")
+
+    hot = posts.where(F.col("size") > CROWD).select("key", _band(F.col("n"), num, den).alias("band"), "node")
+    firsts = hot.groupBy("key", "band").agg(F.min("node").alias("first"))
+    stars = hot.join(firsts, ["key", "band"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    above = firsts.select("key", (F.col("band") - 1).alias("band"), F.col("first").alias("above"))
+    steps = firsts.join(above, ["key", "band"]).where("above <> first").select(F.col("above").alias("a"), F.col("first").alias("b"))
+    crowded = stars.unionByName(steps)
 
     lists = posts.where(F.col("size") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
     seats = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))

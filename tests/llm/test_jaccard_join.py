@@ -69,6 +69,44 @@ def test_against_brute_force(spark, monkeypatch, k, num, blocks):
     assert got(spark, rows, k=k, num=num) == brute(rows, k, num, 100)
 
 
+def near_copies(n):
+    """A text in many versions of one changed word each, versions half as long, and texts linked with few of them."""
+    rnd = random.Random(n)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(n):
+        own = words[:60] if i % 5 == 0 else words[: rnd.randint(100, 120)]
+        own[rnd.randrange(len(own))] = f"x{i}"
+        texts.append(" ".join(own))
+    return texts + [" ".join(words[i : i + 80]) for i in range(0, 40, 8)]
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK_SETS", 16)
+    monkeypatch.setattr(m, "CROWD", 8)
+    seen = {}
+    for name in ("head_tiles", "rest_tiles"):
+
+        def counted(rows, name=name, tiles=getattr(m, name)):
+            seen[name] = (rows.count(), tiles(rows).count())
+            return tiles(rows)
+
+        monkeypatch.setattr(m, name, counted)
+    rows = list(enumerate(near_copies(400)))
+    assert got(spark, rows, k=3, num=85) == brute(rows, 3, 85, 100)
+    sets, met = seen["head_tiles"]
+    assert sets > 300 and met < 8 * sets
+    assert seen["rest_tiles"][1] < sets * sets / 16
+
+
+@pytest.mark.parametrize("num,den", [(1, 3), (1, 2), (80, 100), (90, 100), (100, 100)])
+def test_sets_that_link_are_of_neighbouring_bands(spark, num, den):
+    sizes = [x for x in range(1, 3000)] + [den**i // num**i for i in range(1, 8)]
+    df = spark.createDataFrame([(x, -(-num * x // den)) for x in sizes], "n long, least long")
+    far = df.where(m._band(F.col("n"), num, den) - m._band(F.col("least"), num, den) > (0 if num == den else 1))
+    assert far.count() == 0
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, ""), (8, ""), (3, "other words of the same id here")]
     assert got(spark, rows, k=3, num=90) == brute(rows, 3, 90, 100)
