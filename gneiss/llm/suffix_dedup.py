@@ -36,7 +36,7 @@ from gneiss.llm.work import drop_written, packed, take, text_pieces, tidied, wri
 #: Bytes of text handled at once in a Python worker; longer texts are cut with an overlap of one window.
 PIECE = 1 << 20
 #: Distinct contexts in one bucket above which it is split over tasks.
-HOT = 20_000
+HOT = 10_000
 
 
 def intervals(text: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -69,37 +69,46 @@ def refine(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(text)
     gram = -(-depth // 4)
-    here = np.arange(n - gram + 1)
-    here = here[here + gram <= end[here]]
-    pointer = np.full(n, -1, dtype=np.int64)
+    here = np.arange(n - gram + 1, dtype=np.int32)
+    here = here[here + gram <= end[: n - gram + 1]]
+    pointer = np.full(n, -1, dtype=np.int32)
     if not len(here):
         return pointer
-    key = every(prefix(text), gram)[here]
+    key = _grams(text, gram)[here]
     order = np.argsort(key, kind="stable")
-    pointer[here[order]] = _bucket_ends(key[order], np.zeros(len(order), dtype=np.int64))
+    active, key = here[order], key[order]
+    del here, order
+    pointer[active] = _bucket_ends(key[1:] != key[:-1])
+    del key
     reached = gram
-    active = here[order]
     while reached < depth:
         step = min(reached, depth - reached)
-        fits = active + step + reached <= end[active]
-        sizes = np.bincount(pointer[active], minlength=n)
-        active = active[fits & (sizes[pointer[active]] > 1)]
+        active = active[active + (step + reached) <= end[active]]
+        active = active[np.bincount(pointer[active], minlength=n)[pointer[active]] > 1]
         if not len(active):
             break
         own, later = pointer[active], pointer[active + step]
         order = np.lexsort((later, own))
         active, own, later = active[order], own[order], later[order]
-        start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        del order
+        new = own[1:] != own[:-1]
+        start = np.flatnonzero(np.concatenate(([True], new)))
         count = np.diff(np.concatenate((start, [len(own)])))
-        base = np.repeat(own[start] - count - start + 1, count)
-        pointer[active] = _bucket_ends(later, own) + base
+        base = np.repeat((own[start] - count - start + 1).astype(np.int32), count)
+        pointer[active] = _bucket_ends(new | (later[1:] != later[:-1])) + base
         reached += step
     return pointer
 
 
-def _bucket_ends(minor: np.ndarray, major: np.ndarray) -> np.ndarray:
-    """For sorted rows the index of the last row equal to each."""
-    last = np.flatnonzero(np.concatenate(((minor[1:] != minor[:-1]) | (major[1:] != major[:-1]), [True])))
+def _grams(text: np.ndarray, gram: int) -> np.ndarray:
+    """Fingerprints of all grams, piece by piece: a worker keeps tables as long as the longest piece."""
+    n = len(text) - gram + 1
+    return np.concatenate([every(prefix(text[i : min(i + PIECE, n) + gram - 1]), gram) for i in range(0, n, PIECE)])
+
+
+def _bucket_ends(new: np.ndarray) -> np.ndarray:
+    """For sorted rows the index of the last row of each one's bucket; ``new`` tells where the next row is of another."""
+    last = np.flatnonzero(np.concatenate((new, [True]))).astype(np.int32)
     return np.repeat(last, np.diff(np.concatenate(([-1], last))))
 
 
@@ -153,16 +162,17 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _repeated_runs(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     """Runs of window starts that occur twice among the contexts of ``batch``."""
-    data = b"".join(batch.column("bytes").to_pylist())
-    text = np.frombuffer(data, dtype=np.uint8)
-    size = np.array([len(x) for x in batch.column("bytes").to_pylist()], dtype=np.int64)
+    column = batch.column("bytes").cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    text = np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]]
+    size = np.diff(at)
     stop = np.cumsum(size)
-    end = np.repeat(stop, size)
+    end = np.repeat(stop.astype(np.int32), size)
     pointer = refine(text, end, window)
-    starts = np.flatnonzero(np.arange(len(text)) + window <= end)
-    count = np.bincount(pointer[starts], minlength=len(text) + 1)
+    starts = np.flatnonzero(np.arange(len(text), dtype=np.int32) + window <= end)
+    of = pointer[starts]
     flag = np.zeros(len(text) + 1, dtype=bool)
-    flag[starts] = count[pointer[starts]] > 1
+    flag[starts] = np.bincount(of, minlength=len(text) + 1)[of] > 1
     a, b = _runs(flag)
     owner = np.searchsorted(stop, a, side="right")
     shift = batch.column("first").to_numpy()[owner] - (stop - size)[owner]
