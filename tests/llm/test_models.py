@@ -202,3 +202,17 @@ def test_mixing(spark):
     given = mixing.mixed(df, {"source": F.col("source")}, F.col("own_tokens"), targets=[{"src0": 0.5, "src1": 0.5, "none": 1.0}]).collect()
     assert {r.source for r in given if r.sampled} <= {"src0", "src1"}
     assert mixing.topics(plain.limit(0), F.col("text")) == []
+
+
+def test_accepted_are_the_rows_that_are_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("row", F.lit(1)).withColumn("score", F.lit("x"))
+    more = [(None, None), (10**9, ""), (10**9 + 1, "日本語の文章です。" * 30), (10**9 + 2, "a" * 300_000)]
+    extra = spark.createDataFrame(more, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    docs = docs.unionByName(extra, allowMissingColumns=True)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = kneser_ney.classified(docs, labels, fit_docs=150)
+    want = sorted((r[0] or 0) for r in judged.where("kept").select("doc_id").collect())
+    got = kneser_ney.accepted(docs, labels, fit_docs=150)
+    assert got.columns == docs.columns
+    assert sorted((r[0] or 0) for r in got.select("doc_id").collect()) == want
+    assert 4 < len(want) < docs.count()
