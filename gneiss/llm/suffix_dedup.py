@@ -327,6 +327,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = rows.join(runs, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("text_key")), "left")
     none = F.array().cast("array<struct<first:int,last:int>>")
     changed = F.col("runs").isNotNull()
-    less = cut(F.when(changed, F.col("text")).otherwise(""), F.coalesce("runs", none))
+    # As a random function is: else a filter on the text is pushed below it, and each task cuts twice, in two Python workers.
+    less = cut.asNondeterministic()(F.when(changed, F.col("text")).otherwise(""), F.coalesce("runs", none))
     kept = joined.withColumn("less", F.when(changed, less).otherwise(F.col("text")))
     return kept.select(*[F.col("less").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -64,3 +64,9 @@ def test_each_stage(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in stages[-1].collect()}
+
+
+def test_repeats_are_cut_once_a_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus_pipeline.repeats(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
