@@ -1,11 +1,14 @@
+import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import gneiss.llm.jaccard_join as m
 from gneiss.llm.jaccard_join import deduplicated, jaccard_groups
+from gneiss.llm.work import written
 
 
 def shingle_set(text, k):
@@ -150,3 +153,19 @@ def test_tiles_of_sets_with_bitmaps_of_many_widths():
         a, b = label[i], label[j]
         label = [a if x == b else x for x in label]
     assert len(set(zip(up, label))) == len(set(up)) == len(set(label))
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    summed = spark.range(1000).groupBy((F.col("id") % 77).alias("k")).agg(F.sum("id").alias("s"))
+    assert written(summed.join(spark.range(50).withColumnRenamed("id", "k").repartition(3), "k"), "test")._gneiss_path
+    for _ in range(50):  # they are deleted in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
