@@ -169,3 +169,21 @@ def test_written_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left
+
+
+def test_tables_with_prefixes_and_bitmaps_are_dropped(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(m, "written", lambda df, name: made.append((name, written(df, name))) or made[-1][1])
+    got(spark, list(enumerate(corpus(3, 60))))
+    there = {name for name, df in made if os.path.exists(df._gneiss_path.removeprefix("file://"))}
+    assert not there & {"signatures", "classes", "posts", "sets"} and {"signatures", "classes", "posts", "sets"} <= {name for name, _ in made}
+
+
+def test_classes_that_fit_no_other_leave_before_bitmaps(spark):
+    # key: node, size and members from the n-gram on
+    posts = {1: [(1, 100, 100), (2, 100, 100), (3, 50, 50)], 2: [(4, 100, 89), (5, 100, 88)], 3: [(4, 100, 80), (6, 100, 95)], 4: [(1, 100, 20), (2, 100, 20), (3, 50, 10)]}
+    df = spark.createDataFrame([(k, *x) for k, xs in posts.items() for x in xs], "key long, node long, n int, rest int")
+    assert sorted(r.nodes for r in m.fitting(df, 80, 100).collect()) == [[1, 2]]
+    # 89 of the 111 members of both are more than 80 %, 88 of 112 fewer.
+    more = df.union(spark.createDataFrame([(5, 4, 100, 89), (5, 7, 100, 89)], df.schema))
+    assert sorted(r.nodes for r in m.fitting(more, 80, 100).collect()) == [[1, 2], [4, 7]]
