@@ -3,8 +3,8 @@
 1. Vectors that are equal in label and components become one *class* with a count.
 2. Each table projects the unit vector on several sets of 8 random directions and decodes the nearest lattice point of each; the
    label, the table and the points are a bucket.  A vector also goes to the buckets of neighbouring points, those
-   combinations that lie nearest of the neighbours of all sets.  Two sets are taken, and three for many vectors, so that
-   buckets of unlike vectors stay small.
+   combinations that lie nearest of the neighbours of all sets.  Two sets are taken, or three if the caller asks for smaller
+   buckets.  The size of the table decides nothing: the buckets of a vector, and so the pairs found, are the same in any.
 3. Buckets of one class leave.  In the others cosines are checked and linked classes joined to stars.  In a bucket of many classes
    all are first compared with one of them; those that it does not link with are then compared with all, in blocks of
    bounded size.  So a bucket that one dense group fills takes few comparisons, and none is taken on trust.  The components are *clusters*.
@@ -40,8 +40,6 @@ TABLES = 8
 PROBING = {2: (6, 1.0), 3: (12, 0.8)}
 #: Neighbours of a point that combinations are made of, itself included.
 _NEAR = 4
-#: Classes from which on a table has three sets of directions instead of two.
-MANY = 1 << 26
 #: Classes in a bucket up to which all are compared at once, and classes in a block of a cluster.
 CROWD, BLOCK = 2048, 2048
 
@@ -240,8 +238,11 @@ def _crowded_edges(posts: DataFrame, classes: DataFrame, threshold: float) -> Da
     return seats.where("linked and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(found.where("a <> b"))
 
 
-def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = TABLES, many: int = MANY) -> DataFrame:
-    """One row for each input row: id, ``n_links``, ``component_id`` (smallest id reachable by links) and ``kept``."""
+def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = TABLES, codes: int = 2, many: int | None = None) -> DataFrame:
+    """One row for each input row: id, ``n_links``, ``component_id`` (smallest id reachable by links) and ``kept``.
+
+    ``codes`` is the number of sets of directions.  ``many``, once the number of classes from which on it was three, has no effect.
+    """
     vector = F.col(vector_col).cast("array<double>")
     usable = finite(vector) & F.exists(vector, lambda x: x != 0) & F.col(label_col).isNotNull()
     plain = vectors.select(F.col(id_col).alias("id"), F.xxhash64(F.col(label_col)).alias("label_key"), F.when(usable, F.transform(vector, lambda x: x + F.lit(0.0))).alias("vector"))
@@ -250,7 +251,6 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     lowest = F.min(F.struct(F.col("id").isNull().alias("no"), "id"))
     classes = written(good.groupBy("node").agg(F.first("label_key").alias("label_key"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), lowest.alias("lowest")), "vectors")
 
-    codes = 2 if classes.count() < many else 3
     posts = classes.select("node", "label_key", "vector").mapInArrow(tidied(_bucket_batches(tables, codes)), "key long, node long")
     posts = written(posts.distinct(), "buckets")
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

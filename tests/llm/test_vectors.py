@@ -182,3 +182,12 @@ def test_a_dense_group_larger_than_a_bucket(spark, monkeypatch):
     close = lattice._unit(x.astype(np.float32).astype(np.float64))
     want = (close @ close.T >= 0.98).sum(axis=1) - 1
     assert [got[i].n_links for i in range(500)] == want.tolist() and {got[i].component_id for i in range(400)} == {0}
+
+
+@pytest.mark.parametrize("many", [1, 1 << 26])
+def test_buckets_do_not_depend_on_the_size_of_the_table(spark, monkeypatch, many):
+    asked, real = [], lattice._bucket_batches
+    monkeypatch.setattr(lattice, "_bucket_batches", lambda tables, codes: asked.append(codes) or real(tables, codes))
+    rows = [(i, [1.0, 0.01 * i], "a") for i in range(4)]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), many=many).collect()
+    assert asked == [2] and {r.component_id for r in got} == {0}
