@@ -3,15 +3,16 @@
 The model has an n-gram of characters for each language.  Counts of trusted text are summed by n-gram; lower orders
 count the different characters that precede; for each context its total and its numbers of n-grams seen
 once, twice and more often are summed, and joined to the n-grams with the discounts and the next lower
-order's probability.  All of these tables are spread by their keys.  The finished model has a size bound by the sample, so
-it is broadcast as hash tables, and one pass over all texts gives every document's perplexity.
+order's probability.  All of these tables are spread by their keys.  The finished model is
+broadcast as hash tables, and one pass over all texts gives every document's perplexity.
 
 A document is rejected when its perplexity lies above the language's threshold: ``margin`` times a quantile over
 those trusted documents that were not fitted on.  To be fair to short texts the decision adds ``prior`` characters of
 average perplexity to each text; the plain perplexity is returned beside.
 
-Fitted on a bounded sample: of each language's trusted documents about ``fit_docs``, taken by a hash of the id.
-Thresholds cover all other trusted documents and scores all documents, whole.
+Fitted on all trusted documents but those held out, seven of ten parts by a hash of the id; thresholds cover all of the
+three held out, and scores all documents, whole.  The model has no bound but the number of different n-grams of characters,
+which grows slower than the text.  Only a caller's ``fit_docs`` takes fewer, about so many of each language.
 
 A symbol has 12 bits.  Code points below 3824 are one symbol, all others two: one of 272 leads that no character has alone,
 then the 4096 that follow it.  So no two texts have the same symbols; in scripts above, such as Chinese, an n-gram of order 5
@@ -38,7 +39,7 @@ from gneiss.llm.hashing import Lookup
 from gneiss.llm.work import give_back, packed, take, text_pieces, tidied, unpacked, written
 
 ORDER, BITS = 5, 12
-FIT_DOCS, ENOUGH, PRIOR, QUANTILE, MARGIN = 4000, 30, 60, 0.99, 1.1
+ENOUGH, PRIOR, QUANTILE, MARGIN = 30, 60, 0.99, 1.1
 PIECE = 1 << 18
 _PAD, _END = 2, 3
 #: Code points from here on are a lead and a follower.
@@ -141,7 +142,7 @@ class Model:
 
 
 def load(probability: DataFrame, backoff: DataFrame) -> dict[str, Model]:
-    """The tables as hash tables; their size is bound by the sample that was fitted on."""
+    """The tables as hash tables: 12 bytes for each n-gram and context, and the free places."""
     parts: dict[str, tuple[dict, dict]] = {}
     for side, df, key, value in ((0, probability, "code", "p"), (1, backoff, "context", "g")):
         table = df.select("lang", "k", key, F.col(value).cast("float").alias(value)).toArrow()
@@ -211,13 +212,17 @@ def _trusted(labels: DataFrame, id_col: str) -> DataFrame:
     return rows.where("q = 1 and t = 0 and id is not null").select("id")
 
 
-def _models(base: DataFrame, trusted: DataFrame, fit_docs: int):
-    """A broadcast of the models by language, fitted on about ``fit_docs`` trusted texts each."""
-    spot = F.pmod(F.xxhash64("id", F.lit("spot")), F.lit(1 << 30)) / float(1 << 30)
-    pool = base.select("id", "lang").join(trusted, "id", "left_semi").where(_part() < 7)
-    share = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", (F.lit(float(fit_docs)) / F.col("n")).alias("share"))
-    picked = written(pool.join(F.broadcast(share), "lang").where(spot < F.col("share")).select("id").distinct(), "picked")
-    shared = base.sparkSession.sparkContext.broadcast(load(*fit(base.join(picked, "id", "left_semi").select("lang", "text"))))
+def _models(base: DataFrame, trusted: DataFrame, fit_docs: int | None):
+    """A broadcast of the models by language, fitted on all trusted texts that are not held out, or on about ``fit_docs`` of each."""
+    open_to_fit = trusted.where(_part() < 7)
+    if fit_docs is not None:
+        spot = F.pmod(F.xxhash64("id", F.lit("spot")), F.lit(1 << 30)) / float(1 << 30)
+        pool = base.select("id", "lang").join(open_to_fit, "id", "left_semi")
+        share = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", (F.lit(float(fit_docs)) / F.col("n")).alias("share"))
+        open_to_fit = written(pool.join(F.broadcast(share), "lang").where(spot < F.col("share")).select("id").distinct(), "picked")
+    # One plan at any size: ids that are few enough to be broadcast on a small table are not on a large one.
+    texts = base.where(_part() < 7).join(open_to_fit.hint("merge"), "id", "left_semi").select("lang", "text")
+    shared = base.sparkSession.sparkContext.broadcast(load(*fit(texts)))
     give_back()
     return shared
 
@@ -241,7 +246,7 @@ def _kept(prior: int) -> Column:
     return F.coalesce((_damped(prior) <= F.col("limit")) | (F.col("n") <= 1), F.lit(True))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, quantile: float = QUANTILE, prior: int = PRIOR, enough: int = ENOUGH, margin: float = MARGIN) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int | None = None, quantile: float = QUANTILE, prior: int = PRIOR, enough: int = ENOUGH, margin: float = MARGIN) -> DataFrame:
     """The rows of ``docs`` that :func:`classified` keeps, in one pass without a shuffle of texts: limits are set beforehand."""
     base, trusted = _named(docs, id_col, text_col, lang_col), _trusted(labels, id_col)
     shared = _models(base, trusted, fit_docs)
@@ -254,7 +259,7 @@ def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     return rows.join(F.broadcast(limits), "lang", "left").where(_kept(prior)).select(*unpacked("row", docs.columns))
 
 
-def classified(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, quantile: float = QUANTILE, prior: int = PRIOR, enough: int = ENOUGH, margin: float = MARGIN) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int | None = None, quantile: float = QUANTILE, prior: int = PRIOR, enough: int = ENOUGH, margin: float = MARGIN) -> DataFrame:
     """One row for each input row: ``id_col``, ``text_key``, ``lang``, ``n_symbols``, ``perplexity``, ``threshold`` and ``kept``.
 
     ``labels`` has the same id, ``quality`` and ``toxic``; trusted is what has a quality of 1 and is not toxic.

@@ -216,3 +216,14 @@ def test_accepted_are_the_rows_that_are_kept(spark):
     assert got.columns == docs.columns
     assert sorted((r[0] or 0) for r in got.select("doc_id").collect()) == want
     assert 4 < len(want) < docs.count()
+
+
+def test_models_are_fitted_on_all_trusted_texts_that_are_not_held_out(spark, monkeypatch):
+    assert not hasattr(kneser_ney, "FIT_DOCS")
+    seen, real = [], kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda texts: seen.append(texts.count()) or real(texts))
+    n = 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert kneser_ney.classified(docs, labels).count() == n
+    assert seen == [spark.range(n).where(kneser_ney._part() < 7).count()] and seen[0] > 4000
