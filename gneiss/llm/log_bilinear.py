@@ -7,9 +7,10 @@
    precedes it most beyond chance, counted over all training tokens.  Words outside of the vocabulary are one class more.
 3. Class trigrams of all training texts are counted.
 4. The model predicts a class vector from the two classes before it, by one weight vector for each place, and scores
-   classes by inner products.  It starts as the share of each class.  Each part of the trigram table draws trigrams in
-   proportion to their counts and takes small steps of noise-contrastive estimation with AdaGrad; parameters and
-   AdaGrad's sums are averaged over the parts, round after round, and the round with the best likelihood is kept.
+   classes by inner products.  It starts as the share of each class.  In each round each part of the trigram table goes through
+   all of its trigrams, weighted by their counts (very common ones in several places of the round), in small steps of
+   noise-contrastive estimation with AdaGrad; parameters and AdaGrad's sums are averaged over the parts, round after
+   round, and the round with the best likelihood of all training trigrams is kept.
 5. Batched matrix products give the normaliser of every pair of classes once; each token then needs one inner product.
    Within its class a word has its share of the smoothed counts.  In the class outside of the vocabulary a part is kept
    for one unseen word, by the counts of words seen once (Good-Turing).  So the probabilities of all words and of one
@@ -45,8 +46,8 @@ SINGLE, GROUPS, WIDTH = 510, 16, 32
 #: Words of the vocabulary at most; they are looked up without a join.
 FREQUENT = 1 << 18
 ROUNDS, NOISE, BATCH, RATE = 4, 256, 512, 0.05
-#: Rows of the trigram table that a part holds at once, and trigrams drawn from them in a round.
-PART, DRAWS = 1 << 20, 1 << 19
+#: Rows of the trigram table that a part holds at once, and places of a round beside one for each row: common trigrams take several.
+PART, PLACES = 1 << 20, 1 << 17
 #: Parts of the table at most: each sends its parameters, some 400 kB, to the driver once a round.
 PARTS = 256
 #: Distinct words that a task gathers before it hands their counts on.
@@ -236,8 +237,11 @@ class Model:
         """Parameters and AdaGrad's sums."""
         return np.concatenate([x.ravel() for x in self.parameters() + self.sums])
 
-    def train(self, codes: np.ndarray, rnd: np.random.Generator, rate: float) -> None:
-        """Steps of noise-contrastive estimation over trigrams in the order given; a batch shares its noise."""
+    def train(self, codes: np.ndarray, rnd: np.random.Generator, rate: float, weights: np.ndarray | None = None) -> None:
+        """Steps of noise-contrastive estimation over trigrams in the order given; a batch shares its noise.
+
+        ``weights`` are relative to their mean: a trigram counts so many times.
+        """
         log_noise = (np.log(self.share) + np.log(NOISE)).astype(np.float32)
         ends = np.cumsum(self.share)
         for i in range(0, len(codes), BATCH):
@@ -248,8 +252,9 @@ class Model:
             pred = self.c[0] * near + self.c[1] * far
             real = (pred * self.q[w]).sum(axis=1) + self.b[w] - log_noise[w]
             false = pred @ self.q[noise].T + self.b[noise] - log_noise[noise]
-            d_real = (_sigmoid(real) - 1) / np.float32(len(code))
-            d_false = _sigmoid(false) / np.float32(len(code))
+            share = np.full(len(code), 1 / len(code), dtype=np.float32) if weights is None else (weights[i : i + BATCH] / len(code)).astype(np.float32)
+            d_real = (_sigmoid(real) - 1) * share
+            d_false = _sigmoid(false) * share[:, None]
             d_pred = d_real[:, None] * self.q[w] + d_false @ self.q[noise]
             grads = [
                 _scatter(np.concatenate((one, two)), np.concatenate((self.c[0] * d_pred, self.c[1] * d_pred)), self.k),
@@ -293,23 +298,49 @@ def _scatter(rows: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _round(code: np.ndarray, n: np.ndarray, rnd: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """All trigrams in a random order with weights of mean 1; common ones come several times, their count dealt to the places."""
+    times = np.maximum(1, -(-n // max(1, int(n.sum()) // PLACES)))
+    order = rnd.permutation(int(times.sum()))
+    weight = np.repeat(n / times, times)[order]
+    return np.repeat(code, times)[order], weight / weight.mean()
+
+
 def _train_batches(model, rate: float, number: int):
-    """Likelihood of the model given, by drawn trigrams, and what the part makes of it."""
+    """What the part makes of the model given, by all of its trigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model.value[0]).with_parameters(model.value[1])
         rnd = np.random.Generator(np.random.PCG64(7 + number))
-        seen, gain = 0, 0.0
+        seen = 0
         for code, n in _parts(batches):
-            ends = np.cumsum(n)
-            drawn = code[np.searchsorted(ends, rnd.integers(0, ends[-1], DRAWS), side="right")]
-            some = drawn[: 1 << 14]
-            gain += float(ends[-1]) * float(Model(own.share).with_parameters(model.value[1]).log_probability(some).mean())
-            seen += int(ends[-1])
-            if rate:
-                own.train(drawn, rnd, rate)
+            seen += int(n.sum())
+            codes, weights = _round(code, n, rnd)
+            own.train(codes, rnd, rate, weights)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([gain]), pa.array([own.flat().tobytes()], pa.binary())], names=["n", "gain", "parameters"])
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], names=["n", "parameters"])
+
+    return run
+
+
+def _gain_batches(model):
+    """The likelihood of all trigrams, a row for each batch; those after one pair of classes come together, so each normaliser is made once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(model.value[0]).with_parameters(model.value[1])
+        for code, n in _parts(batches):
+            pair, at = np.unique(code // own.k, return_inverse=True)
+            below = np.empty(len(pair))
+            for i in range(0, len(pair), BATCH):
+                one, two = pair[i : i + BATCH] % own.k, pair[i : i + BATCH] // own.k
+                below[i : i + BATCH] = own._normaliser(own.c[0] * own.r[one] + own.c[1] * own.r[two])
+            gain = 0.0
+            for i in range(0, len(code), 1 << 16):
+                some = code[i : i + (1 << 16)]
+                w, one, two = some % own.k, some // own.k % own.k, some // own.k**2
+                score = ((own.c[0] * own.r[one] + own.c[1] * own.r[two]) * own.q[w]).sum(axis=1) + own.b[w]
+                gain += float((n[i : i + (1 << 16)] * (score - below[at[i : i + (1 << 16)]])).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())], pa.int64()), pa.array([gain])], names=["n", "gain"])
 
     return run
 
@@ -326,23 +357,27 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def trained(trigrams: DataFrame, share: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Averages of what the parts learn, round after round; the one with the best likelihood."""
+def trained(trigrams: DataFrame, share: np.ndarray, rounds: int = ROUNDS, by_pair: DataFrame | None = None) -> Model:
+    """Averages of what the parts learn, round after round; the one with the best likelihood of all trigrams.
+
+    ``by_pair`` has the same trigrams, those after one pair of classes together; without it ``trigrams`` is read for the likelihood.
+    """
     spark = trigrams.sparkSession
     now = best = Model(share)
     least = -np.inf
     for k in range(rounds + 1):
         given = spark.sparkContext.broadcast((share, now.flat()))
-        rate = RATE / (1 + k) ** 0.5 if k < rounds else 0.0
-        rows = trigrams.mapInArrow(tidied(_train_batches(given, rate, k)), "n long, gain double, parameters binary").collect()
+        rows = (trigrams if by_pair is None else by_pair).mapInArrow(tidied(_gain_batches(given)), "n long, gain double").collect()
         total = sum(r["n"] for r in rows)
         if not total:
             break
         gain = sum(r["gain"] for r in rows) / total
         if gain > least:
             best, least = now, gain
-        flat = sum(np.frombuffer(r["parameters"], dtype=np.float32).astype(np.float64) * (r["n"] / total) for r in rows)
-        now = now.with_parameters(flat)
+        if k < rounds:
+            rows = trigrams.mapInArrow(tidied(_train_batches(given, RATE / (1 + k) ** 0.5, k)), "n long, parameters binary").collect()
+            flat = sum(np.frombuffer(r["parameters"], dtype=np.float32).astype(np.float64) * (r["n"] / total) for r in rows)
+            now = now.with_parameters(flat)
         given.unpersist()
     return best
 
@@ -453,9 +488,10 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     trigrams = written(training.mapInArrow(tidied(_coded(trigrams_of)), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "trigrams")
     parts = min(PARTS, -(-max(trigrams.count(), 1) // PART))
     spread = written(trigrams.repartition(parts, F.xxhash64("code")), "parts")
+    by_pair = written(trigrams.repartition(F.expr(f"code div {k}")), "pairs")
     drop_written(trigrams)
-    model = trained(spread.coalesce(parts), share, rounds)
-    drop_written(spread)
+    model = trained(spread.coalesce(parts), share, rounds, by_pair)
+    drop_written(spread, by_pair)
     if not len(word):
         cls, base_of, share_of = np.zeros(1, dtype=np.int32), np.zeros(1), np.zeros(1)
     tables = spark.sparkContext.broadcast((vocabulary, cls, base_of, share_of, model, model.normalisers()))

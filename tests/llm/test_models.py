@@ -227,3 +227,30 @@ def test_models_are_fitted_on_all_trusted_texts_that_are_not_held_out(spark, mon
     labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     assert kneser_ney.classified(docs, labels).count() == n
     assert seen == [spark.range(n).where(kneser_ney._part() < 7).count()] and seen[0] > 4000
+
+
+def test_each_round_of_training_goes_through_all_trigrams():
+    rnd = np.random.default_rng(2)
+    code, n = np.arange(300_000), np.ones(300_000, dtype=np.int64)
+    n[:10] = 200_000
+    got, weight = log_bilinear._round(code, n, rnd)
+    assert len(np.unique(got)) == len(code) and len(got) <= len(code) + log_bilinear.PLACES + 10
+    share = np.bincount(got, weight, len(code)) / weight.sum()
+    assert np.allclose(share, n / n.sum()) and abs(weight.mean() - 1) < 1e-9
+
+
+def test_likelihood_is_that_of_all_trigrams():
+    import pyarrow as pa
+
+    share = np.array([1e-9, 0.5, 0.3, 0.2])
+    model = log_bilinear.Model(share)
+    model.q += np.random.default_rng(3).standard_normal(model.q.shape).astype(np.float32)
+    code = np.array([c for c in range(64) if c % 4])
+    n = np.arange(1, len(code) + 1)
+
+    class Given:
+        value = (share, model.flat())
+
+    (row,) = log_bilinear._gain_batches(Given)(iter([pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "c"])]))
+    assert row.column("n")[0].as_py() == n.sum()
+    assert abs(row.column("gain")[0].as_py() - (n * model.log_probability(code)).sum()) < 1e-2
